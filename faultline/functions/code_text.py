@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import reduce
 
@@ -36,18 +37,29 @@ def sync_patterns() -> dict[str, int]:
 
 
 def sync_constructs(code) -> Column:
-    """Weighted count of synchronization constructs, case-insensitive."""
+    """Weighted count of synchronization constructs, case-insensitive.
+
+    Each pattern only runs on texts holding its literal core; most texts hold none.
+    """
     code = _col(code)
+    folded = F.replace(F.lower(code), F.lit("ſ"), F.lit("s"))
     counts = [
-        F.regexp_count(code, F.lit("(?iu)" + portable(p))) * weight
+        F.when(folded.contains(_literal_core(p)), F.regexp_count(code, F.lit("(?iu)" + portable(p))))
+        .otherwise(0)
+        * weight
         for p, weight in sync_patterns().items()
     ]
-    # most texts hold none of the roots and skip the separate counts
     return F.when(
-        code.rlike(f"(?iu)({_SYNC_ROOTS})"), reduce(lambda a, b: a + b, counts)
+        folded.rlike(_SYNC_ROOTS), reduce(lambda a, b: a + b, counts)
     ).otherwise(F.lit(0))
 
 
+def _literal_core(pattern: str) -> str:
+    """The longest plain word of a pattern, lower-case."""
+    words = re.findall(r"[A-Za-z_]+", re.sub(r"\\[bswd]", " ", pattern))
+    return max(words, key=len).lower()
+
+
 def loop_start() -> str:
     return "(?iu)(" + "|".join(portable(p) for p in schema.LOOP_PATTERNS) + ")"
 
