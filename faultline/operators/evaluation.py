@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.operators.spread import ROWS_PER_BUCKET, running_sum
+from faultline.session import materialize
 
 
 def class_ratio(df: DataFrame, y: str = "y") -> DataFrame:
@@ -53,10 +54,11 @@ def with_scores(counts: DataFrame) -> DataFrame:
 
 
 def _by_score(df: DataFrame, model: str, y: str, p: str) -> DataFrame:
-    """Positives and negatives per distinct score: all that ranking needs."""
-    return df.groupBy(F.col(model).alias("model"), F.col(p).alias("p")).agg(
+    """Positives and negatives per distinct score: all that ranking needs. Written once, read often."""
+    counts = df.groupBy(F.col(model).alias("model"), F.col(p).alias("p")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
     )
+    return materialize(counts, "scores")
 
 
 def roc_auc(

@@ -841,10 +841,8 @@ def _document_line_changes(spark, sf):
     return features.file_features(pairs.withColumn("message", F.lit("update"))).select("doc_id", *schema.SAFE_FEATURES)
 
 
-def _labelled_changes(spark, sf):
-    """Source changes of the orders with the label each commit got from tracing."""
-    labels = _analysis(spark, sf, with_issues=False).commits.select("commit_hash", "label")
-    return driver_tables.source_changes(spark, sf).join(labels, "commit_hash")
+def _labels(spark, sf):
+    return _analysis(spark, sf, with_issues=False).commits.select("commit_hash", "label")
 
 
 @query(
@@ -857,7 +855,7 @@ def _labelled_changes(spark, sf):
         FROM features f""",
 )
 def _labelled_dataset(spark, sf):
-    return rounded(mining.labelled_dataset(_labelled_changes(spark, sf)), "complexity")
+    return rounded(mining.labelled_dataset(driver_tables.source_changes(spark, sf), _labels(spark, sf)), "complexity")
 
 
 @query("labelled_functions")
@@ -868,7 +866,7 @@ def _labelled_functions(spark, sf):
         "file_path", "commit_hash", "author", "commit_ts", F.lit(5).alias("added"), F.lit(1).alias("deleted")
     )
     return mining.labelled_dataset(
-        _labelled_changes(spark, sf), function_level=True, process_metrics=process.metrics_at_commits(touched)
+        changes, _labels(spark, sf), function_level=True, process_metrics=process.metrics_at_commits(touched)
     )
 
 
@@ -1189,10 +1187,10 @@ def _first(spark, sf):
 
 @query(
     "first_predictions",
-    f"SELECT filename, function_name, name, model_id, round(probability, 6) AS probability FROM ({FIRST})",
+    f"SELECT filename, function_name, name, model_id, round(probability, 9) AS probability FROM ({FIRST})",
 )
 def _first_predictions(spark, sf):
-    return rounded(_first(spark, sf), "probability").select(
+    return rounded(_first(spark, sf), "probability", digits=9).select(
         "filename", "function_name", "name", "model_id", "probability"
     )
 
@@ -1200,13 +1198,13 @@ def _first_predictions(spark, sf):
 @query(
     "result_rows",
     f"""SELECT filename, function_name, function_start_line || '-' || CASE WHEN function_end_line = 0 THEN 'N/A' ELSE CAST(function_end_line AS VARCHAR) END AS function_lines,
-               name AS model, round(probability, 6) AS probability, label,
+               name AS model, round(probability, 9) AS probability, label,
                CASE WHEN probability >= 0.5 THEN 'red' WHEN probability >= 0.25 THEN 'yellow' ELSE 'green' END AS risk_band
         FROM ({FIRST}) WHERE label = 'BUGGY'""",
 )
 def _result_rows(spark, sf):
     shown = reporting.filter_results(reporting.result_rows(_first(spark, sf)), "buggy")
-    return rounded(reporting.sort_results(shown, "probability", ascending=False), "probability")
+    return rounded(reporting.sort_results(shown, "probability", ascending=False), "probability", digits=9)
 
 
 @query(
@@ -1238,13 +1236,13 @@ def _prediction_counts(spark, sf):
 
 @query(
     "ensemble_mean",
-    f"""SELECT filename, function_name, round(avg(probability), 6) AS probability,
+    f"""SELECT filename, function_name, round(avg(probability), 9) AS probability,
                CASE WHEN avg(probability) >= 0.5 THEN 'BUGGY' ELSE 'CLEAN' END AS label
         FROM ({FIRST}) GROUP BY 1, 2""",
 )
 def _ensemble_mean(spark, sf):
     mean = scoring.ensemble_mean(_first(spark, sf), ["filename", "function_name"], ["Quantity", "Discount", "Price"])
-    return rounded(mean, "probability")
+    return rounded(mean, "probability", digits=9)
 
 
 @query(
