@@ -61,8 +61,10 @@ def with_parents(commits: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) ->
 
 def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as changed files of their order."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount"
+    lines = spread_scan(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount"
+        )
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
@@ -78,7 +80,7 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape_events(table(spark, sf_dir, "events"))
+    return shape_events(spread_scan(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")))
 
 
 def shape_events(events: DataFrame) -> DataFrame:
@@ -251,7 +253,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Line items of one order play the functions of one file; a returned item is a true defect.
     """
-    base = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"
+    )
+    base = spread_scan(lines).select(
         F.concat(F.lit("order"), F.col("l_orderkey")).alias("filename"),
         F.concat(F.lit("item_"), F.col("l_linenumber")).alias("function_name"),
         (F.col("l_partkey") % 100 + 1).alias("function_start_line"),

@@ -190,3 +190,28 @@ def test_missing_sides_of_a_change(spark):
     full = {(r.commit_hash, r.file_path): (r.before, r.after) for r in mining.change_texts(commits, touched, versions).collect()}
     assert full == {("c2", "old"): ("1", "2"), ("c2", "new"): ("", "n"), ("c1", "old"): ("", "1")}
     assert mining.change_texts(commits, touched, versions, compat=True).count() == 1
+
+
+@pytest.mark.parametrize("function_level", [False, True])
+def test_mining_end_to_end(spark, function_level):
+    rows = [("c1", None, "start", 1), ("c2", "c1", "more", 2), ("c3", "c2", "other", 3), ("c4", "c3", "Fix it", 4)]
+    commits = spark.createDataFrame(
+        [(h, p, m, m, "ann", f"2024-01-0{d}") for h, p, m, d in rows],
+        "commit_hash string, parent_hash string, subject string, message string, author string, t string",
+    ).withColumn("commit_ts", F.col("t").cast("timestamp"))
+    texts = {"c1": "x = 1", "c2": "x = 1\ny = 2", "c3": "x = 1\ny = 2\nz = 3", "c4": "x = 1\ny = 4\nz = 3"}
+    versions = spark.createDataFrame([("a.py", h, t) for h, t in texts.items()], "file_path string, commit_hash string, content string")
+    touched = spark.createDataFrame(
+        [("a.py", h, 0, "@@ -2 +2 @@\n-y = 2\n+y = 4" if h == "c4" else "", 1, 0, "ann") for h in texts],
+        "file_path string, commit_hash string, pos int, diff string, added long, deleted long, author string",
+    ).join(commits.select("commit_hash", "commit_ts"), "commit_hash")
+    blame = spark.createDataFrame([("a.py", "c3", 2, "c2")], "file_path string, at_commit string, line_no int, origin_hash string")
+    data, found = mining.mine(
+        commits, touched, versions, blame, function_level=function_level, with_process_metrics=True
+    )
+    got = {r.commit_hash: r for r in data.collect()}
+    assert {h: r.label for h, r in got.items()} == {"c1": "CLEAN", "c2": "BUGGY", "c3": "CLEAN", "c4": "CLEAN"}
+    assert (got["c4"].added_lines, got["c4"].deleted_lines, got["c4"].commit_count_30d) == (1.0, 1.0, 4)
+    assert got["c1"].added_lines == 1.0 and found.statistics.first().bug_fix_commits == 1
+    newest, _ = mining.mine(commits, touched, versions, blame, max_commits=2, function_level=function_level)
+    assert {r.commit_hash for r in newest.collect()} == {"c3", "c4"}
