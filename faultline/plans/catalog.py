@@ -793,21 +793,26 @@ def _file_features(spark, sf):
     return rounded(featured.select("file_path", *schema.SAFE_FEATURES), "complexity")
 
 
+FUNCTIONS = f"""
+    {SOURCES}, all_functions AS (
+      SELECT k, lang, j, 'step_' || j AS name, CASE WHEN lang = 1 THEN s - 1 ELSE s END AS start_line,
+             CASE WHEN lang = 2 THEN s + len ELSE s + len - 1 END AS end_line,
+             CASE lang WHEN 0 THEN 'self,n' WHEN 1 THEN 'n,s' ELSE '' END AS parameters FROM g
+      UNION ALL
+      SELECT k, lang, j, 'for', s + l - 1, s + d + 2 + d - l, 'i++' FROM (
+        SELECT *, unnest(range(1, d + 1)) AS l FROM g WHERE lang = 1 AND d > 0)
+      UNION ALL
+      SELECT k, lang, j, 'synchronized', s + 2 * d + 1, s + 2 * d + 2, 'this' FROM g WHERE lang = 1 AND lock = 1),
+    inventory AS (
+      SELECT k, j, 'src/order' || k || ['.py', '.java', '.js'][lang + 1] AS file_path, name,
+             CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, lang < 2 AS is_method,
+             CASE WHEN lang < 2 THEN 'Order' || k END AS class_name, parameters
+      FROM all_functions)"""
+
+
 @query(
     "function_inventory",
-    f"""WITH {SOURCES}, all_functions AS (
-          SELECT k, lang, 'step_' || j AS name, CASE WHEN lang = 1 THEN s - 1 ELSE s END AS start_line,
-                 CASE WHEN lang = 2 THEN s + len ELSE s + len - 1 END AS end_line,
-                 CASE lang WHEN 0 THEN 'self,n' WHEN 1 THEN 'n,s' ELSE '' END AS parameters FROM g
-          UNION ALL
-          SELECT k, lang, 'for', s + l - 1, s + d + 2 + d - l, 'i++' FROM (
-            SELECT *, unnest(range(1, d + 1)) AS l FROM g WHERE lang = 1 AND d > 0)
-          UNION ALL
-          SELECT k, lang, 'synchronized', s + 2 * d + 1, s + 2 * d + 2, 'this' FROM g WHERE lang = 1 AND lock = 1)
-        SELECT 'src/order' || k || ['.py', '.java', '.js'][lang + 1] AS file_path, name,
-               CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, lang < 2 AS is_method,
-               CASE WHEN lang < 2 THEN 'Order' || k END AS class_name, parameters
-        FROM all_functions""",
+    f"""WITH {FUNCTIONS} SELECT file_path, name, start_line, end_line, is_method, class_name, parameters FROM inventory""",
 )
 def _function_inventory(spark, sf):
     sources = driver_tables.source_changes(spark, sf).withColumn("language", code_text.language_by_name("file_path"))
@@ -818,7 +823,13 @@ def _function_inventory(spark, sf):
     )
 
 
-@query("functions_on_both_sides")
+@query(
+    "functions_on_both_sides",
+    f"""WITH {FUNCTIONS}
+        SELECT file_path, 'after' AS side, name, start_line, end_line, is_method, class_name FROM inventory
+        UNION ALL SELECT inventory.file_path, 'before', name, start_line, end_line, is_method, class_name
+        FROM inventory JOIN o ON inventory.k = o.k WHERE j <= nb""",
+)
 def _functions_on_both_sides(spark, sf):
     sources = driver_tables.source_changes(spark, sf).withColumn("language", code_text.language_by_name("file_path"))
     found = extraction.explode_both_sides(sources, "before", "after", "language", ["file_path"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,11 +24,14 @@ _DESCRIPTION = {
 }
 
 
-def read_labelled(spark: SparkSession, path: str | None = None, default: str = DEFAULT_DATASET) -> DataFrame:
-    """A labelled dataset from CSV (typed by the known column names) or Parquet."""
+def read_labelled(
+    spark: SparkSession, path: str | None = None, default: str = DEFAULT_DATASET, format: str | None = None
+) -> DataFrame:
+    """A labelled dataset from CSV (typed by the known column names), Parquet or another format."""
     path = path or default
-    if path.endswith((".parquet", "/")) or _is_parquet_dir(path):
-        df = spark.read.parquet(path)
+    format = format or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    if format != "csv":
+        df = spark.read.format(format).load(path)
     else:
         header = spark.read.option("header", True).csv(path).columns
         types = _DESCRIPTION | {f: "string" for f in header if f not in _DESCRIPTION}
@@ -47,10 +48,6 @@ def read_labelled(spark: SparkSession, path: str | None = None, default: str = D
     return df
 
 
-def _is_parquet_dir(path: str) -> bool:
-    return os.path.isdir(path) and any(n.endswith(".parquet") for n in os.listdir(path))
-
-
 def write_dataset(df: DataFrame, path: str, format: str = "parquet", partition_by: list[str] | None = None) -> str:
     writer = df.write.mode("overwrite")
     if partition_by:

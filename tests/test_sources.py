@@ -50,7 +50,7 @@ def test_labelled_csv(spark, tmp_path):
     assert columns == ["added_lines", "deleted_lines", "total_changes", "net_lines", "code_churn"]
     assert [tuple(r) for r in clean.collect()] == [(3.0, 1.0, 4.0, 2.0, 4.0, 1), (0.0, 0.0, 0.0, 0.0, 0.0, 0)]
     datasets.write_dataset(df, str(tmp_path / "out"))
-    assert datasets.read_labelled(spark, str(tmp_path / "out")).count() == 2
+    assert datasets.read_labelled(spark, str(tmp_path / "out"), format="parquet").count() == 2
     datasets.write_dataset(df, str(tmp_path / "csv"), "csv")
     assert datasets.read_labelled(spark, str(tmp_path / "csv")).filter("commit_message like '%lines%'").count() == 1
     (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
