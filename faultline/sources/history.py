@@ -90,6 +90,8 @@ def commit_detail(commits: DataFrame, file_changes: DataFrame, files_per_page: i
     listed = (
         file_changes.join(stats.select("commit_hash", "files"), "commit_hash")
         .withColumn("page", F.pmod(F.xxhash64("file_path", "pos"), pages).cast("int"))
+        # the join leaves a commit's rows together; its pages are built apart
+        .repartition("commit_hash", "page")
         .groupBy("commit_hash", "page")
         .agg(
             F.array_sort(
