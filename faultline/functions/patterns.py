@@ -9,7 +9,7 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 NOT_SPACE = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
 DIGIT = r"\p{Nd}"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def portable(pattern: str) -> str:

@@ -247,7 +247,7 @@ def _message_metrics(spark, sf):
 @query(
     "text_metrics",
     f"""SELECT doc_id, len(regexp_extract_all(text, {quoted(WORD + '+')})) AS token_count,
-               len(list_filter(string_split_regex(text, {quoted(LINE_BREAK.encode('ascii', 'backslashreplace').decode().replace(chr(92) + 'u2028', chr(0x2028)).replace(chr(92) + 'u2029', chr(0x2029)))}),
+               len(list_filter(string_split_regex(text, {quoted(LINE_BREAK)}),
                                lambda l: regexp_matches(l, {quoted(NOT_SPACE)}))) AS nloc
         FROM documents""",
 )
