@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm.stages import exact_dedup
+from faultline.llm import stages
+from faultline.llm.common import documents
+from faultline.session import materialize
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("exact dedup", exact_dedup),
+    ("quality rules", stages.quality_rules),
+    ("language ID", stages.language_id),
+    ("exact dedup", stages.exact_dedup),
+    ("SimHash near-dedup", stages.near_dedup),
+    ("best-fit packing", stages.best_fit_packing),
 ]
 # Learned rules and tokenizers have no SQL; tests compare the stages with brute force.
 ORACLE_SQL: str | None = None
@@ -17,9 +23,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage over all documents; each stage reads what the one before has written."""
-    from faultline.llm.common import documents
-    from faultline.session import materialize
-
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -9,11 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from faultline.llm.common import documents
 from faultline.llm.digest_index import DigestIndex, deduplicate
 from faultline.llm.id_files import store_ids
+from faultline.llm.language import identify_documents
+from faultline.llm.packing import pack
+from faultline.llm.quality import judge, learned
 from faultline.llm.sharding import shard_documents
+from faultline.llm.simhash import near_duplicates
 
 SHARDS = 24
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document and the verdict of the rules learned from the labels."""
+    docs = documents(spark, sf_dir)
+    rules = learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(docs, rules, "doc_id")
+
+
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to files of patched blocks and read back."""
     return store_ids(documents(spark, sf_dir), "byte_bpe_50k.json")
@@ -35,9 +46,28 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), SHARDS)
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of every document."""
+    return pack(documents(spark, sf_dir), "word_bpe_49k.json")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return identify_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_token_id_files": op4_token_id_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sharding": op6_sharding,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_language_id": op10_language_id,
 }
 ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
