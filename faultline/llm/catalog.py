@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm.common import documents
+from faultline.llm.common import documents, prepared
 from faultline.llm.digest_index import DigestIndex, deduplicate
+from faultline.llm.html_text import extract
 from faultline.llm.id_files import store_ids
 from faultline.llm.language import identify_documents
 from faultline.llm.packing import pack
+from faultline.llm.pieces import encode_documents
 from faultline.llm.quality import judge, learned
+from faultline.llm.quotes import link_quotes, quoting
 from faultline.llm.sharding import shard_documents
 from faultline.llm.simhash import near_duplicates
 
@@ -25,6 +28,44 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, rules, "doc_id")
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in reply order without quotations, after each turn quotes the two before it."""
+    return link_quotes(quoting(prepared(spark).read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+OP2_SQL = r"""
+    WITH RECURSIVE said AS (
+      SELECT conv_id, turn, role, coalesce(text, '') AS text,
+             trim(regexp_replace(lower(coalesce(text, '')), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain
+      FROM conversations),
+    units AS (
+      SELECT conv_id, turn, plain FROM said
+      UNION
+      SELECT conv_id, turn, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')
+      FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM said)),
+    firsts AS (SELECT conv_id, plain, min(turn) AS origin FROM units WHERE plain <> '' GROUP BY ALL),
+    linked AS (
+      SELECT m.*, coalesce((p.plain <> '')::INT, 0) + coalesce((g.plain <> '')::INT, 0) AS n_quotes, coalesce(f.origin, -1) AS parent_turn
+      FROM said m LEFT JOIN said p ON p.conv_id = m.conv_id AND p.turn = m.turn - 1
+      LEFT JOIN said g ON g.conv_id = m.conv_id AND g.turn = m.turn - 2
+      LEFT JOIN firsts f ON f.conv_id = m.conv_id AND f.plain = p.plain),
+    threads AS (
+      SELECT conv_id, turn, turn AS thread FROM linked WHERE parent_turn = -1
+      UNION ALL
+      SELECT l.conv_id, l.turn, t.thread FROM linked l JOIN threads t ON t.conv_id = l.conv_id AND t.turn = l.parent_turn)
+    SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn) - 1 AS position,
+           parent_turn, n_quotes::BIGINT AS n_quotes, n_quotes::BIGINT AS n_linked,
+           regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body,
+           '<|im_start|>' || coalesce(role, 'user') || chr(10)
+             || regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') || '<|im_end|>' AS chat
+    FROM linked JOIN threads USING (conv_id, turn)"""
+
+
+def op3_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and checksums of every document's pieces, and whether they decode to the text."""
+    return encode_documents(documents(spark, sf_dir))
+
+
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to files of patched blocks and read back."""
     return store_ids(documents(spark, sf_dir), "byte_bpe_50k.json")
@@ -56,6 +97,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), "word_bpe_49k.json")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return extract(prepared(spark).read.parquet(f"{sf_dir}/pages.parquet"), "html", "page_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return identify_documents(documents(spark, sf_dir))
@@ -63,11 +109,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quotation_linking": op2_quotation_linking,
+    "op3_piece_coding": op3_piece_coding,
     "op4_token_id_files": op4_token_id_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sharding": op6_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
 }
-ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+ORACLE: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "op5_exact_dedup": OP5_SQL}
