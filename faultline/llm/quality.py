@@ -200,6 +200,8 @@ def _tallies(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[tu
         above = F.filter(F.array(*(F.lit(float(c)) for c in cuts[f])), lambda c: c < F.col(f))
         return F.struct(F.lit(f).alias("f"), F.size(above).alias("k"))
 
+    if not any(cuts.values()):
+        return {}
     cells = rows.select("bad", F.explode(F.array(*(place(f) for f in FEATURES if cuts[f]))).alias("cell"))
     counted = cells.groupBy("cell.f", "cell.k").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
     out = {f: [(0, 0)] * (len(c) + 1) for f, c in cuts.items() if c}

@@ -1,0 +1,338 @@
+"""Quality rules, language, duplicates, shards and the pipeline against brute force."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from check_queries import difference, duck
+
+import corpus_pipeline
+from __spark_entry__ import oracle_sql, queries
+from faultline.llm import catalog, quality, sharding, simhash, stages
+from faultline.llm.components import components
+from faultline.llm.digest_index import DigestIndex, deduplicate
+from faultline.llm.language import DIMENSIONS, Profiler, identify, identify_documents, learn
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def crowd(spark, n, text="same text of a crowd, as often as not repeated here"):
+    return [(k, text) for k in range(n)]
+
+
+# --- exact dedup -------------------------------------------------------------------------------
+
+
+def _kept(rows):
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[text or ""].append(doc_id)
+    return groups
+
+
+@pytest.mark.parametrize("share", [0, 1, 1000])
+def test_exact_dedup(spark, documents, monkeypatch, share):
+    monkeypatch.setattr("faultline.llm.common.HOT_SHARE", share)
+    rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "A"), (9, "x" * 100_000), (7, "a"), (7, "a"), (None, "n"), (None, "a")]
+    rows += crowd(spark, 50)
+    got = deduplicate(documents(rows, "1 AS digest"), DigestIndex(spark)).collect()
+    groups = _kept(rows)
+    assert len(got) == len(rows)
+    by_digest = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    for r in got:
+        ids = by_digest[r.text_sha256]
+        known = [i for i in ids if i is not None]
+        assert r.group_size == len(ids) and r.keep_id == (max(known) if known else None)
+        assert not r.kept or r.doc_id == r.keep_id
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(by_digest.keys())
+
+
+def test_index_remembers(spark, documents):
+    index = DigestIndex(spark, buckets=3)
+    first = deduplicate(documents([(1, "a"), (2, "b")]), index).collect()
+    assert all(r.kept for r in first)
+    second = {r.doc_id: r for r in deduplicate(documents([(2, "b"), (8, "b"), (9, "c")]), index).collect()}
+    assert [second[i].kept for i in (2, 8, 9)] == [False, False, True]
+    assert second[8].keep_id == 2 and index.known().count() == 3
+    assert deduplicate(documents([]), index).count() == 0 and index.known().count() == 3
+
+
+# --- sharding ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 48, 1009])
+def test_feistel_is_a_permutation_with_an_inverse(spark, n):
+    feistel = sharding.Feistel(n, seed=3)
+    rows = spark.range(n).withColumn("p", feistel.of(sharding.F.col("id")))
+    got = rows.withColumn("b", feistel.back(sharding.F.col("p"))).collect()
+    assert sorted(r.p for r in got) == list(range(n)) and all(r.b == r.id for r in got)
+    if n > 1000:
+        assert sum(abs(r.p - r.id) < 20 for r in got) < 100
+
+
+def test_shards(spark, documents):
+    rows = [(k // 2, f"text {k}") for k in range(100)] + [(None, None), (7, ""), (8, "é"), (8, "é")]
+    got = sharding.shard_documents(documents(rows, "0 AS shard"), 24).collect()
+    assert len(got) == len(rows)
+    sizes = Counter(r.shard for r in got)
+    assert set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for s, n in sizes.items():
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
+    wanted = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == wanted
+    again = sharding.shard_documents(documents(rows[::-1]), 24).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    assert sharding.shard_documents(documents([]), 24).count() == 0
+
+
+def test_place_is_computable(spark):
+    n = 61
+    numbers = spark.range(n).withColumnRenamed("id", "row_no")
+    got = sharding.placed(numbers, n, 7).withColumn(
+        "back", sharding.row_number_at(sharding.F.col("shard"), sharding.F.col("slot"), n, 7)
+    )
+    assert all(r.back == r.row_no for r in got.collect())
+
+
+# --- near duplicates ---------------------------------------------------------------------------
+
+
+def _fingerprint(text):
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = WORD.findall(text)
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def _near(rows, fps, radius=2):
+    top = list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    groups = defaultdict(list)
+    for i, (doc_id, _) in enumerate(rows):
+        groups[find(i)].append(doc_id)
+    return [min((d for d in groups[find(i)] if d is not None), default=None) for i in range(len(rows))]
+
+
+def test_fingerprints():
+    texts = [None, "", " \n", "A", "a b", "A B c", "Ä b C d\te\x0bf", "w " * 70_000, "a\x1cb c d", "x" * 10_000]
+    texts += [" ".join(random.Random(k).choices("abcdefgh", k=k)) for k in range(1, 40)]
+    assert [simhash.fingerprint(t) for t in texts] == [_fingerprint(t) for t in texts]
+
+
+def test_near_duplicates(documents):
+    rng = random.Random(4)
+    rows = [(300, None), (301, ""), (302, "b"), (None, "lonely words of nobody"), (303, "b"), (303, "b")]
+    for k in range(40):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(300)]
+        rows.append((2 * k, " ".join(words)))
+        words[rng.randrange(300)] = "other"
+        rows.append((2 * k + 1, " ".join(words)))
+    rows += [(400 + k, "copied text again and again") for k in range(30)]
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(documents(rows, "0 AS fp")).collect()}
+    fps = [_fingerprint(t) for _, t in rows]
+    assert got == {(d, f"{fp:016x}", c) for (d, _), fp, c in zip(rows, fps, _near(rows, fps))}
+    assert simhash.near_duplicates(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("tile", [70, 100_000])
+def test_tiles_lose_no_link(spark, tile):
+    rng = random.Random(8)
+    fps = set()
+    for _ in range(60):
+        fp = rng.getrandbits(64)
+        for _ in range(8):
+            fps.add(fp)
+            fp ^= 1 << rng.randrange(64)
+            fp ^= rng.choice([0, 1 << rng.randrange(64)])
+    near = rng.getrandbits(64)
+    fps |= {near ^ 1 << a ^ 1 << b for a in range(20) for b in range(20)}
+    fps = sorted(fps)
+    rows = spark.createDataFrame([(k, fp - (fp >> 63 << 64)) for k, fp in enumerate(fps)], "doc_id long, fp long").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(rows, tile=tile).collect()}
+    wanted = _near([(k, None) for k in range(len(fps))], fps)
+    assert [got[k] for k in range(len(fps))] == wanted
+
+
+def test_components(spark):
+    chain = [(k, k + 1) for k in range(200)] + [(500, 500), (600, 602), (601, 602)] + [(1000, k) for k in range(1001, 1100)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    wanted = {k: 0 for k in range(201)} | {600: 600, 601: 600, 602: 600} | {k: 1000 for k in range(1000, 1100)}
+    assert got == wanted
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- quality rules -----------------------------------------------------------------------------
+
+
+def _statistics(text):
+    text = text or ""
+    words = WORD.findall(text)
+    places = defaultdict(list)
+    for i in range(len(words) - 4):
+        places[tuple(words[i : i + 5])].append(i)
+    covered = {i + k for p in places.values() if len(p) > 1 for i in p for k in range(5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    symbols = sum(c in "#*$%&|<>" for c in text)
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered)
+
+
+def test_base_statistics(documents):
+    rng = random.Random(9)
+    rows = [(0, None), (1, ""), (2, " \n\n"), (3, "a b c d e"), (4, "a b c d e a b c d e"), (5, "x " * 12), (6, "é|\nb\n é|\né|\r\né|")]
+    rows += [(10 + k, " ".join(rng.choices("ab\n", k=rng.randrange(60)))) for k in range(60)]
+    rows += [(100, " ".join(f"w{k}" for k in range(20_000)) + " w1 w2 w3 w4 w5 w6"), (100, "#" * 50_000)]
+    got = quality.judge(documents(rows, "1 AS kept"), [], "doc_id").collect()
+    wanted = Counter()
+    for doc_id, text in rows:
+        s = _statistics(text)
+        failed = s[0] < 10 or 100 * s[4] > 20 * s[0]
+        wanted[(doc_id, *s, failed, 0, not failed)] += 1
+    assert Counter(map(tuple, got)) == wanted
+    assert quality.judge(documents([]), [], "doc_id").count() == 0
+
+
+def test_rules_are_learned_and_ordered(spark, documents):
+    rng = random.Random(10)
+    rows, marks = [], []
+    for k in range(400):
+        words = [f"w{rng.randrange(1000)}" for _ in range(30)]
+        bad = k % 4 == 0
+        if k % 8 == 0:
+            words = [w + "***" for w in words]
+        elif bad:
+            words = [w.upper() + "!!" for w in words]
+        rows.append((k, " ".join(words)))
+        marks.append((k, 0 if bad else 1))
+    labels = spark.createDataFrame(marks + [(None, 0), (5, None), (8, 0), (7000, 0)], "doc_id long, quality int")
+    docs = documents(rows)
+    rules = quality.learned(docs, labels, quality.Training(max_rows=300))
+    assert 1 <= len(rules) <= 4
+    got = {r.doc_id: r.kept for r in quality.judge(docs, rules, "doc_id").collect()}
+    assert all(got[k] == bool(q) for k, q in marks)
+    assert quality.learned(docs, labels.limit(0)) == []
+    assert quality.learned(docs, labels.filter("quality = 1")) == []
+
+
+# --- language ----------------------------------------------------------------------------------
+
+
+def _texts(rng, letters, n):
+    return [" ".join("".join(rng.choices(letters, k=rng.randrange(2, 8))) for _ in range(40)) for _ in range(n)]
+
+
+def test_profile_of_a_text_is_the_sum_of_its_triples(monkeypatch):
+    ours = Profiler(256, remembered=20)
+    text = "Ab, cab 12 abba! Été"
+    padded = " ab cab abba été "
+    total = np.zeros(256)
+    for i in range(len(padded) - 2):
+        a, b, c = (ours._letter(ord(x)).astype(int) for x in padded[i : i + 3])
+        total += np.roll(a, 2) * np.roll(b, 1) * c
+    assert np.allclose(ours.profile(text), total / np.linalg.norm(total), atol=1e-5)
+    whole = ours.profile("one two three " * 50)
+    monkeypatch.setattr("faultline.llm.language._CHUNK", 7)
+    assert np.allclose(ours.profile("one two three " * 50), whole, atol=1e-5)
+    assert ours.profile(None) is None and ours.profile("12 !") is None
+
+
+def test_languages(documents):
+    rng = random.Random(11)
+    kinds = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvéü"}
+    rows = [(k, t, lang) for lang, letters in kinds.items() for k, t in enumerate(_texts(rng, letters, 60), ord(lang[0]) * 100)]
+    rows += [(1, None, "aa"), (2, "", "bb"), (3, "12 + 3", "cc"), (None, "abc abc", None), (4, "abcd", None), (4, "abcd", None)]
+    docs = documents(rows, "0 AS score")
+    got = {r.doc_id: r for r in identify_documents(docs).collect()}
+    for doc_id, _, lang in rows[:180]:
+        assert got[doc_id].lang_pred == lang and 0 < got[doc_id].score <= 1
+        assert got[doc_id].held_out == (zlib.crc32(str(doc_id).encode()) % 5 == 0)
+    assert {got[k].lang_pred for k in (1, 2, 3)} == {"und"} and got[1].score == 0
+    assert got[4].lang_pred == "aa" and got[None].held_out
+    assert learn(docs.filter("lang IS NULL")) == {}
+    assert {r.lang_pred for r in identify(docs, {}, "doc_id").collect()} == {"und"}
+    assert identify_documents(documents([])).count() == 0
+    assert learn(docs)["aa"].shape == (DIMENSIONS,)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = identify_documents(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    wrong, n = got.filter("lang <> lang_pred").count(), got.count()
+    assert n > 150 and wrong <= 0.02 * n
+
+
+# --- queries and pipeline ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    assert difference(catalog.QUERIES[name](spark, SF).toPandas(), duck(SF).execute(catalog.ORACLE[name]).df()) is None
+
+
+def test_queries_are_registered():
+    assert set(catalog.QUERIES) < set(queries()) and "pipeline" in queries()
+    assert set(catalog.ORACLE) <= set(oracle_sql())
+
+
+def test_stages_take_effect(spark, documents, tmp_path):
+    rng = random.Random(12)
+    clean = [" ".join(f"{rng.choice('abcdefgh')}w{rng.randrange(5000)}" for _ in range(200)) for _ in range(30)]
+    rows = [(k, t) for k, t in enumerate(clean)]
+    rows += [(100 + k, t) for k, t in enumerate(clean[:10])]  # copies
+    rows += [(200 + k, t + " tail") for k, t in enumerate(clean[10:20])]  # near copies
+    rows += [(300, None), (301, ""), (302, "too short"), (303, "1 2 3 4 5 6 7 8 9 10 11"), (None, clean[20]), (304, "x y z a b " * 9)]
+    rows += [(400, clean[21]), (400, clean[21])]
+    labels = spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs, columns = documents(rows, "1 AS kept"), None
+    seen = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = str(tmp_path / str(k))
+        stage(spark, docs, str(tmp_path)).write.parquet(out)
+        columns = columns or docs.columns
+        docs = spark.read.parquet(out)
+        if k < 4:
+            assert docs.columns == columns
+            seen.append(Counter(r.doc_id for r in docs.collect()))
+    bad = {300, 301, 302, 304}
+    assert seen[0] == Counter(i for i, _ in rows if i not in bad)
+    assert seen[1] == Counter({i: n for i, n in seen[0].items() if i != 303})
+    copies = set(range(10)) | {20, 21, None}  # clean[20] also without id, clean[21] twice as 400
+    assert seen[2] == Counter({i: 1 for i in seen[1] if i not in copies - {20}})
+    near = simhash.near_groups(simhash.fingerprints(spark.read.parquet(str(tmp_path / "2")))).collect()
+    assert seen[3] == Counter({r.component_id: 1 for r in near})
+    assert {r.doc_id for r in docs.collect()} == set(seen[3])
+
+
+def test_pipeline_of_an_empty_table(spark, documents, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = documents([])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert docs.count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_pipeline_runs(spark):
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert stages.LEAST_SCORE < 0.5
