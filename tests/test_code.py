@@ -1,6 +1,7 @@
 import ast
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -179,3 +180,43 @@ def test_both_sides(spark):
     got = extraction.explode_both_sides(df, "before", "after", "language", ["k"]).select("side", "name").collect()
     assert [tuple(r) for r in got] == [("after", "f")]
     assert df.select(F.size(extraction.functions_in(F.col("before"), F.col("language")))).first()[0] == 0
+
+
+def test_long_texts_are_read_once():
+    for code, language in [
+        (" " * 1_000_000 + "; if(a) {", "java"),
+        (" " * 1_000_000 + "; if(a) {", "c"),
+        ("word " * 200_000 + "(", "cpp"),
+        ("word " * 200_000, "java"),
+        ("\n" * 1_000_000 + "x", "python"),
+        ("def " * 250_000, "python"),
+        ("function " * 100_000, "javascript"),
+        ("(" * 1_000_000, "c"),
+        ("f(x) { " * 100_000, None),
+    ]:
+        start = time.perf_counter()
+        extraction.functions_of(code, language)
+        assert time.perf_counter() - start < 3, (code[:20], language)
+
+
+def test_signatures_equal_their_patterns():
+    patterns = {
+        "python": r"^\s*def\s+(\w+)\s*\([^)]*\)\s*:",
+        "c": r"[\w\s\[\]<>]+\s+(\w+)\s*\([^)]*\)\s*\{",
+        "javascript": r"function\s+(\w+)\s*\([^)]*\)\s*\{",
+    }
+    tokens = "public |static|private\n| |\n|\n\n|int|foo|(|(|)|)|{|{|}|a, int b|class A|;|[]|<T>|def |def f(|:|function |function g(|\t|é"
+    rng = random.Random(1)
+    for _ in range(4000):
+        code = "".join(rng.choice(tokens.split("|")) for _ in range(rng.randrange(2, 26)))
+        for language, pattern in patterns.items():
+            found = re.compile(pattern, re.MULTILINE)
+            wanted = [(m[1], code.count("\n", 0, m.start()) + 1) for m in found.finditer(code)]
+            assert [(f["name"], f["start_line"]) for f in extraction.by_signature(code, language)] == wanted
+
+
+def test_language_is_detected_when_none_is_given():
+    assert [f["name"] for f in extraction.functions_of("int f(a) {\n}\nvoid g() {\n}", None)] == ["f", "g"]
+    assert [f["name"] for f in extraction.functions_of("def f(a):\n    pass", None)] == ["f"]
+    assert [f["is_method"] for f in extraction.functions_of("class A {\n public int f (a) { } }", None)] == [True]
+    assert extraction.functions_of("nothing here", None) == []
