@@ -464,7 +464,7 @@ def _newest_versions(spark, sf):
         WHERE rn <= 5""",
 )
 def _first_files(spark, sf):
-    return history.first_files(driver_tables.file_changes(spark, sf)).select("commit_hash", "file_path", "pos")
+    return history.first_files(driver_tables.file_changes(spark, sf), 5).select("commit_hash", "file_path", "pos")
 
 
 # --- history metrics --------------------------------------------------------------------------

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.messages import parse_timestamp
-from faultline.operators.spread import ROWS_PER_BUCKET, previous_row
+from faultline.operators.spread import ROWS_PER_BUCKET, previous_row, running_sum
+from faultline.session import materialize
 
 FILES_PER_PAGE = 1000
-FILES_PER_COMMIT = 5
 
 
 def parse_log(lines: DataFrame, value: str = "value", position: str | None = None) -> DataFrame:
@@ -32,9 +32,24 @@ def parse_log(lines: DataFrame, value: str = "value", position: str | None = Non
 
 
 def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
-    """Scan exported log files. ``log_pos`` increases along the file order (newest first)."""
-    lines = spark.read.text(path).withColumn("log_pos", F.monotonically_increasing_id())
-    return parse_log(lines, position="log_pos")
+    """Scan exported log files. ``log_pos`` increases along the files by name, and along each file.
+
+    A file may be read in parts. Its part's first byte plus the row's place in the part never
+    reaches the next part, since a line has at least one byte.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_scan"),
+    )
+    lines = materialize(lines, "log")
+    parts = lines.groupBy("_file", "_start").agg(F.min("_scan").alias("_first"))  # a row a part of a file
+    by_name = Window.orderBy("_file")
+    parts = parts.withColumn("_rank", F.dense_rank().over(by_name).cast("long"))
+    place = F.shiftleft("_rank", 44) + F.col("_start") + F.col("_scan") - F.col("_first")
+    placed = lines.join(parts, ["_file", "_start"]).withColumn("log_pos", place)
+    return parse_log(placed, position="log_pos")
 
 
 def commit_history(
@@ -114,7 +129,7 @@ def changed_files(detail: DataFrame) -> DataFrame:
     return detail.selectExpr("commit_hash", "inline(changed_files)")
 
 
-def first_files(file_changes: DataFrame, n: int = FILES_PER_COMMIT) -> DataFrame:
+def first_files(file_changes: DataFrame, n: int) -> DataFrame:
     """The first ``n`` changed files of each commit; the limit is applied before the shuffle too."""
     window = Window.partitionBy("commit_hash").orderBy("pos", "file_path")
     return (
@@ -153,6 +168,41 @@ def before_after(file_versions: DataFrame, first: str, second: str) -> DataFrame
     )
 
 
+def versions_before(
+    changes: DataFrame, commits: DataFrame, file_versions: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """(commit_hash, file_path, before_hash): the newest version of each changed file at the commit's parent.
+
+    Newest means by commit time, at or before the parent; an export that holds a version only where
+    a file changed is enough. Root commits and files without such a version give no row. Versions
+    are counted along time, and the parent's count is looked up among the version numbers, so that
+    neither texts nor all versions of a file meet in one place.
+    """
+    times = commits.select("commit_hash", "commit_ts")
+    known = file_versions.select("file_path", "commit_hash", *(["commit_ts"] if "commit_ts" in file_versions.columns else []))
+    if "commit_ts" not in known.columns:
+        known = known.join(times, "commit_hash")
+    parents = times.select(F.col("commit_hash").alias("parent_hash"), F.col("commit_ts").alias("parent_ts"))
+    probes = (
+        changes.select("commit_hash", "file_path").distinct()
+        .join(commits.select("commit_hash", "parent_hash", "commit_ts"), "commit_hash")
+        .filter("parent_hash IS NOT NULL")
+        .join(parents, "parent_hash", "left")
+    )
+    # a parent that was not exported lies somewhere before the commit
+    at = F.when(F.col("parent_ts").isNull(), order_key(F.col("commit_ts"), F.col("commit_hash")) - 1).otherwise(
+        order_key(F.col("parent_ts"), F.col("parent_hash"))
+    )
+    events = known.select(
+        "file_path", "commit_hash", order_key(F.col("commit_ts"), F.col("commit_hash")).alias("_order"), F.lit(1).alias("_is")
+    ).unionByName(probes.select("file_path", "commit_hash", at.alias("_order"), F.lit(0).alias("_is")))
+    events = materialize(events, "version-order")
+    counted = running_sum(events, ["file_path"], "_order", {"_n": F.col("_is")}, rows_per_bucket=rows_per_bucket)
+    counted = materialize(counted, "version-numbers")
+    numbers = counted.filter("_is = 1").groupBy("file_path", "_n").agg(F.max("commit_hash").alias("before_hash"))
+    return counted.filter("_is = 0").join(numbers, ["file_path", "_n"]).select("commit_hash", "file_path", "before_hash")
+
+
 def consecutive_pairs(
     versions: DataFrame,
     file: str,

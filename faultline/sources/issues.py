@@ -47,7 +47,7 @@ def search_issues(
     project: str | None = None,
     issue_type: str | None = None,
     status: str | None = None,
-    max_results: int = 50,
+    max_results: int | None = None,
 ) -> DataFrame:
     """Issues meeting all given conditions, newest first."""
     out = issues
@@ -57,7 +57,8 @@ def search_issues(
         out = out.filter(F.col("issue_type") == issue_type)
     if status:
         out = out.filter(F.col("status") == status)
-    return out.orderBy(F.desc("created"), "key").limit(max_results)
+    out = out.orderBy(F.desc("created"), "key")
+    return out.limit(max_results) if max_results else out
 
 
 def confirming_issues(issues: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ def test_commit_detail_pages_large_commits(spark):
     assert detail.filter("commit_hash = 'c'").count() == 3
     assert history.changed_files(detail).count() == 25
     assert detail.filter("commit_hash = 'empty'").first().files == 0
-    assert history.first_files(touched).count() == 5
+    assert history.first_files(touched, 5).count() == 5
 
 
 def test_versions(spark):
@@ -184,7 +184,8 @@ def test_versions(spark):
 
 
 def test_missing_sides_of_a_change(spark):
-    commits = spark.createDataFrame([("c2", "c1"), ("c1", None)], "commit_hash string, parent_hash string")
+    commits = spark.createDataFrame([("c2", "c1", "2024-01-02"), ("c1", None, "2024-01-01")], "commit_hash string, parent_hash string, t string")
+    commits = commits.withColumn("commit_ts", F.col("t").cast("timestamp"))
     touched = spark.createDataFrame([("c2", "old", 0), ("c2", "new", 1), ("c1", "old", 0)], "commit_hash string, file_path string, pos int")
     versions = spark.createDataFrame([("old", "c1", "1"), ("old", "c2", "2"), ("new", "c2", "n")], "file_path string, commit_hash string, content string")
     full = {(r.commit_hash, r.file_path): (r.before, r.after) for r in mining.change_texts(commits, touched, versions).collect()}
@@ -215,3 +216,45 @@ def test_mining_end_to_end(spark, function_level):
     assert got["c1"].added_lines == 1.0 and found.statistics.first().bug_fix_commits == 1
     newest, _ = mining.mine(commits, touched, versions, blame, max_commits=2, function_level=function_level)
     assert {r.commit_hash for r in newest.collect()} == {"c3", "c4"}
+
+
+def test_text_at_the_parent_may_be_stored_long_before(spark):
+    """b.py changes in c1 and c3 only; c2 touches twelve other files."""
+    hashes = ["c1", "c2", "c3"]
+    commits = spark.createDataFrame(
+        [(h, hashes[k - 1] if k else None, f"2024-01-0{k + 1}") for k, h in enumerate(hashes)],
+        "commit_hash string, parent_hash string, t string",
+    ).withColumn("commit_ts", F.col("t").cast("timestamp"))
+    touched = spark.createDataFrame(
+        [("c1", "b.py", 0), ("c3", "b.py", 0)] + [("c2", f"{k}.py", k) for k in range(12)],
+        "commit_hash string, file_path string, pos int",
+    )
+    versions = spark.createDataFrame(
+        [("b.py", "c1", "one"), ("b.py", "c3", "two")] + [(f"{k}.py", "c2", "new") for k in range(12)],
+        "file_path string, commit_hash string, content string",
+    )
+    got = {(r.commit_hash, r.file_path): (r.before, r.after) for r in mining.change_texts(commits, touched, versions).collect()}
+    assert len(got) == 14 and got["c3", "b.py"] == ("one", "two") and got["c1", "b.py"] == ("", "one")
+    assert all(got["c2", f"{k}.py"] == ("", "new") for k in range(12))
+    assert mining.change_texts(commits, touched, versions, files_per_commit=5).count() == 7
+    cut = history.versions_before(touched, commits, versions, rows_per_bucket=1)
+    assert [(r.commit_hash, r.before_hash) for r in cut.collect()] == [("c3", "c1")]
+
+
+@pytest.mark.parametrize("unit", [None, ["file_path"]])
+def test_mining_declared_tables(spark, unit):
+    """File changes as declared have neither author nor time nor line numbers."""
+    rows = [("c1", None, "start"), ("c2", "c1", "more"), ("c3", "c2", "other"), ("c4", "c3", "Fix it")]
+    commits = spark.createDataFrame(
+        [(h, p, m, m, "ann", f"2024-01-0{k + 1}") for k, (h, p, m) in enumerate(rows)],
+        "commit_hash string, parent_hash string, subject string, message string, author string, t string",
+    ).withColumn("commit_ts", F.col("t").cast("timestamp"))
+    touched = spark.createDataFrame(
+        [(h, "a.py", 0, "M", 1, 0, "") for h, _, _ in rows if h != "c3"],
+        "commit_hash string, file_path string, pos int, change_type string, added int, deleted int, diff string",
+    )
+    versions = spark.createDataFrame([("a.py", h, f"x = {h}") for h, _, _ in rows], "file_path string, commit_hash string, content string")
+    data, found = mining.mine(commits, touched, versions, with_process_metrics=True, unit=unit)
+    got = {r.commit_hash: (r.label, r.commit_count_30d) for r in data.collect()}
+    assert got == {"c1": ("CLEAN", 1), "c2": ("BUGGY", 2), "c4": ("CLEAN", 3)}
+    assert found.inducing.first().file_path == "a.py"

@@ -18,6 +18,9 @@ def test_log_file(spark, tmp_path):
     (tmp_path / "log.txt").write_text("\n".join(lines))
     got = history.read_commit_log(spark, str(tmp_path / "log.txt")).orderBy("log_pos").collect()
     assert [(r.commit_hash, r.subject) for r in got] == [("h1", "Fix a|b"), ("h4", "")]
+    (tmp_path / "a.txt").write_text("".join(f"a{k}|x|2020-01-01 00:00:00 +0000|{'s' * 500}\n" for k in range(30)))
+    both = history.read_commit_log(spark, str(tmp_path)).orderBy("log_pos").collect()
+    assert [r.commit_hash for r in both] == [f"a{k}" for k in range(30)] + ["h1", "h4"]
     newest = history.commit_history(history.read_commit_log(spark, str(tmp_path)), since="2024-01-01 12:00:00")
     assert [r.commit_hash for r in newest.collect()] == ["h1"]
 
@@ -99,3 +102,4 @@ def test_issue_search(spark):
     df = spark.createDataFrame(rows, "key string, issue_type string, status string, created string")
     assert [r.key for r in issues.search_issues(df, project="A").collect()] == ["A-2", "A-1"]
     assert [r.key for r in issues.search_issues(df, max_results=1).collect()] == ["B-1"]
+    assert issues.search_issues(df).count() == 3
