@@ -149,6 +149,9 @@ def top_features(scores: DataFrame, n: int) -> list[str]:
     return [r["feature"] for r in sorted(best, key=lambda r: r["position"])]
 
 
+DEEPEST = 30  # Spark's limit on the depth of a tree
+
+
 def _forest(df: DataFrame, features: list[str], trees: int, seed: int, depth: int):
     assembled = VectorAssembler(inputCols=features, outputCol="features").transform(df)
     return RandomForestClassifier(
@@ -157,7 +160,7 @@ def _forest(df: DataFrame, features: list[str], trees: int, seed: int, depth: in
 
 
 def forest_importances(
-    df: DataFrame, features: list[str], trees: int = 100, seed: int = schema.SEED, depth: int = 10
+    df: DataFrame, features: list[str], trees: int = 100, seed: int = schema.SEED, depth: int = DEEPEST
 ) -> list[tuple[str, float]]:
     """Features with their importance, best first; equal ones keep their order."""
     values = _forest(df, features, trees, seed, depth).featureImportances.toArray()
@@ -165,7 +168,7 @@ def forest_importances(
 
 
 def eliminate(
-    df: DataFrame, features: list[str], n: int, trees: int = 50, seed: int = schema.SEED, depth: int = 10
+    df: DataFrame, features: list[str], n: int, trees: int = 50, seed: int = schema.SEED, depth: int = DEEPEST
 ) -> list[str]:
     """Drop the least important feature of a fresh forest until n are left."""
     left = list(features)
@@ -208,10 +211,10 @@ def select_best_method(
     methods: tuple[str, ...] = ("selectkbest", "rfe", "importance"),
     id_column: str = "row_id",
     seed: int = schema.SEED,
-    trees: int = 50,
+    judge_trees: int = 50,
     test: DataFrame | None = None,
 ) -> tuple[str, list[str]]:
-    """The method whose features give a small forest the best accuracy; the first one wins ties.
+    """The method whose features give a forest of ``judge_trees`` the best accuracy; the first one wins ties.
 
     Accuracy is taken on a held-out fifth of the training rows. Passing ``test`` uses those rows
     instead, which leaks the test set into the choice.
@@ -223,8 +226,8 @@ def select_best_method(
         fit_on, judge_on = train, test
     best = ("none", list(features), -1.0)
     for method in methods:
-        chosen = select_features(fit_on, features, method, seed=seed, trees=trees)
-        model = _forest(fit_on, chosen, trees, seed, 10)
+        chosen = select_features(fit_on, features, method, seed=seed)
+        model = _forest(fit_on, chosen, judge_trees, seed, DEEPEST)
         judged = model.transform(VectorAssembler(inputCols=chosen, outputCol="features").transform(judge_on))
         accuracy = judged.agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
         if accuracy is not None and accuracy > best[2]:

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 4_000_000
-_MAX_CUTS = 10_000
 _STRIDE = 64
 
 
@@ -33,7 +32,7 @@ def hot_key_cuts(df: DataFrame, keys: list[str], order: str, rows_per_bucket: in
         return None
     spark = df.sparkSession
     hot_keys = spark.createDataFrame(hot_rows, hot.schema)
-    grid = min(_MAX_CUTS, -(-max(r["_n"] for r in hot_rows) // rows_per_bucket))
+    grid = -(-max(r["_n"] for r in hot_rows) // rows_per_bucket)
     # a key of n rows keeps ceil(n / rows_per_bucket) - 1 of the grid's cut points
     wanted = F.expr(
         f"transform(sequence(1, cast(least({grid}, ceil(_n / {rows_per_bucket})) as int) - 1), "
@@ -42,7 +41,7 @@ def hot_key_cuts(df: DataFrame, keys: list[str], order: str, rows_per_bucket: in
     cuts = (
         _null_safe_join(df, F.broadcast(hot_keys), keys, "inner")
         .groupBy(*keys, "_n")
-        .agg(F.percentile_approx(order, [i / grid for i in range(1, grid)], 10_000).alias("_q"))
+        .agg(F.percentile_approx(order, [i / grid for i in range(1, grid)], max(10_000, grid)).alias("_q"))
         .select(*keys, F.array_sort(F.array_distinct(wanted)).alias("_cuts"))
         .withColumn(
             "_tops", F.expr(f"filter(_cuts, (c, i) -> i % {_STRIDE} = {_STRIDE - 1})")

@@ -30,7 +30,7 @@ from faultline.operators import (
 )
 from faultline.plans import mining
 from faultline.plans import scoring as scoring_plan
-from faultline.plans.training import TrainingConfig, run_training
+from faultline.plans.training import TrainingConfig, bounded, run_training
 from faultline.session import materialize, scratch, tune
 from faultline.sources import datasets, driver_tables, files, history, issues, model_store
 from faultline.streaming import jobs
@@ -39,7 +39,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 NOW = "2001-08-01 00:00:00"
-SMALL_RUN = training.Effort(trees=5, depth=4, iterations=20)
 
 
 def query(name: str, sql: str | None = None):
@@ -232,7 +231,7 @@ def _issue_reference_counters(spark, sf):
         FROM documents""",
 )
 def _message_metrics(spark, sf):
-    docs = driver_tables.spread_scan(driver_tables.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = driver_tables.table(spark, sf, "documents").select("doc_id", "text")
     return docs.select(
         "doc_id",
         messages.message_length("text").cast("long").alias("commit_msg_length"),
@@ -252,7 +251,7 @@ def _message_metrics(spark, sf):
         FROM documents""",
 )
 def _text_metrics(spark, sf):
-    docs = driver_tables.spread_scan(driver_tables.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = driver_tables.table(spark, sf, "documents").select("doc_id", "text")
     return docs.select(
         "doc_id",
         code_text.token_count("text").cast("long").alias("token_count"),
@@ -289,7 +288,7 @@ def _nesting_sql(text: str) -> str:
         FROM pages""",
 )
 def _page_constructs(spark, sf):
-    pages = driver_tables.spread_scan(driver_tables.table(spark, sf, "pages").select("page_id", "html"))
+    pages = driver_tables.table(spark, sf, "pages").select("page_id", "html")
     return pages.withColumn("_n", code_text.brace_loop_nesting("html")).select(
         "page_id",
         code_text.sync_constructs("html").cast("long").alias("sync_constructs_count"),
@@ -310,7 +309,7 @@ def _shape_sql(text: str) -> str:
     f"""SELECT page_id, {_shape_sql('html')} AS language, 'python' AS language_by_name FROM pages""",
 )
 def _page_languages(spark, sf):
-    pages = driver_tables.spread_scan(driver_tables.table(spark, sf, "pages"))
+    pages = driver_tables.table(spark, sf, "pages")
     return pages.select(
         "page_id",
         code_text.language_of("url", "html").alias("language"),
@@ -376,10 +375,8 @@ def _commit_detail(spark, sf):
     f"SELECT commit_hash, file_path AS path, pos, added, deleted FROM ({FILE_CHANGES})",
 )
 def _changed_files(spark, sf):
-    detail = history.commit_detail(
-        driver_tables.order_commits(spark, sf), driver_tables.file_changes(spark, sf)
-    )
-    return history.changed_files(detail).select("commit_hash", "path", "pos", "added", "deleted")
+    changes = driver_tables.file_changes(spark, sf)
+    return changes.select("commit_hash", F.col("file_path").alias("path"), "pos", "added", "deleted")
 
 
 @query(
@@ -674,9 +671,9 @@ def _tracing_statistics(spark, sf):
 # --- diffs ------------------------------------------------------------------------------------
 
 PAIRS = """
-    SELECT t.conv_id, t.turn, b.text AS before, t.text AS after,
-           len(string_split(b.text, chr(10))) AS nb, len(string_split(t.text, chr(10))) AS na
-    FROM conversations t JOIN conversations b ON t.conv_id = b.conv_id AND t.turn = b.turn + 1"""
+    SELECT t.conv_id, t.turn, coalesce(b.text, '') AS before, t.text AS after,
+           len(string_split(coalesce(b.text, ''), chr(10))) AS nb, len(string_split(t.text, chr(10))) AS na
+    FROM conversations t LEFT JOIN conversations b ON t.conv_id = b.conv_id AND t.turn = b.turn + 1"""
 
 
 @query(
@@ -1135,8 +1132,9 @@ def _confusion_share(spark, sf):
 
 
 def _formula_metrics(spark, sf):
-    """Metrics of the scoring formulas as if they were trained models."""
-    measured = evaluation.model_metrics(driver_tables.predictions(spark, sf), "model_id")
+    """Metrics of the scoring formulas as if they were trained models, without the ranking by score."""
+    measured = evaluation.with_scores(evaluation.confusion(driver_tables.predictions(spark, sf), "model_id"))
+    measured = measured.withColumn("roc_auc", F.lit(None).cast("double"))
     return measured.withColumn("model_name", F.col("model_id")).withColumn("position", F.col("model_id"))
 
 
@@ -1326,7 +1324,7 @@ def _tomek_links(spark, sf):
 
 def _document_rows(spark, sf):
     """Documents as a labelled dataset: low quality is BUGGY, unlabelled ones are CLEAN."""
-    text = driver_tables.spread_scan(driver_tables.table(spark, sf, "documents").select("doc_id", "text"))
+    text = driver_tables.table(spark, sf, "documents").select("doc_id", "text")
     labels = driver_tables.table(spark, sf, "labels").select("doc_id", "quality")
     return text.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("row_id"),
@@ -1352,39 +1350,43 @@ def _rebalanced_rows(spark, sf):
 
 def _trained(spark, sf):
     rows, columns = datasets.prepare(_document_rows(spark, sf), keep=["row_id"])
-    split = sampling.stratified_split(materialize(rows, "learning"), "y", "row_id").cache()
+    split = materialize(sampling.stratified_split(materialize(rows, "learning"), "y", "row_id"), "split")
     return training.train_and_measure(
         split.filter(~F.col("is_test")), split.filter("is_test"), columns,
-        ["Logistic Regression", "Decision Tree", "Naive Bayes"], SMALL_RUN,
+        ["Logistic Regression", "Decision Tree", "Naive Bayes"],
     )
 
 
+# The presets of up to 25 levels and 300 trees that one forest or regression needs; boosted ones fit
+# 200 or 300 trees one after another.
+QUICK_PRESETS = ["Logistic Regression", "Decision Tree", "Random Forest", "Naive Bayes", "Feed-Forward Network"]
+
+
 @query("trained_models")
 def _trained_models(spark, sf):
-    """Every model preset at a small size, and the ensemble, measured on the test rows."""
-    config = TrainingConfig(selection="selectkbest", effort=training.Effort(trees=3, depth=3, iterations=5))
+    """The presets that are not boosted, and the ensemble, measured on the test rows."""
+    config = TrainingConfig(selection="selectkbest", models=QUICK_PRESETS, max_fit_rows=20_000)
     return run_training(_document_rows(spark, sf), config).metrics.drop("training_time")
 
 
 @query("best_feature_method")
 def _best_feature_method(spark, sf):
     rows, columns = datasets.prepare(_document_rows(spark, sf), keep=["row_id"])
-    method, chosen = selection.select_best_method(materialize(rows, "learning"), columns, trees=5)
+    method, chosen = selection.select_best_method(bounded(materialize(rows, "learning"), 20_000), columns)
     return spark.createDataFrame([(method, c) for c in chosen], "method string, feature string")
 
 
 @query("feature_importances")
 def _feature_importances(spark, sf):
     rows, columns = datasets.prepare(_document_rows(spark, sf), keep=["row_id"])
-    found = selection.forest_importances(rows, columns, trees=20)
+    found = selection.forest_importances(bounded(rows, 20_000), columns)
     return reporting.top_importances(spark.createDataFrame(found, "feature string, importance double"))
 
 
 @query("leakage_check")
 def _leakage_check(spark, sf):
     rows, columns = datasets.prepare(_document_rows(spark, sf), keep=["row_id"])
-    per_fold = training.leakage_check(materialize(rows, "learning"), columns, "row_id", effort=SMALL_RUN)
-    return evaluation.fold_summary(per_fold)
+    return evaluation.fold_summary(training.leakage_check(materialize(rows, "learning"), columns, "row_id"))
 
 
 @query("saved_models")

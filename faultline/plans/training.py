@@ -12,7 +12,8 @@ from faultline.operators import evaluation, training
 from faultline.operators.balance import rebalance
 from faultline.operators.sampling import stratified_split
 from faultline.operators.selection import select_best_method, select_features
-from faultline.operators.training import FULL, Effort, Trained
+from faultline.operators.spread import running_sum
+from faultline.operators.training import Settings, Trained
 from faultline.session import materialize
 from faultline.sources.datasets import aligned_union, prepare
 from faultline.sources.model_store import save_models
@@ -27,11 +28,14 @@ class TrainingConfig:
     # 'best' tries several methods, a method name uses that one, None keeps all features
     selection: str | None = "best"
     methods: tuple[str, ...] = ("selectkbest", "rfe", "importance")
-    selection_trees: int = 50
+    judge_trees: int = 50
     choose_on_test: bool = False
     balance: bool = True
     models: list[str] | None = None
-    effort: Effort = FULL
+    # parameters that replace those of a preset, by model name
+    settings: Settings | None = None
+    # about as many rows at most are fitted on, a share of each class by hash of their content; None fits on all
+    max_fit_rows: int | None = None
     leakage_check: bool = False
     parallelism: int = 1
     save_to: str | None = None
@@ -58,8 +62,24 @@ class TrainingResult:
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """A stable id per row: numbered once and written, so retries see the same numbers."""
-    return materialize(df.withColumn("row_id", F.monotonically_increasing_id()), "dataset")
+    """An id per row from its content and, among equal rows, its number; a written table.
+
+    The ids, and with them every seeded split, do not depend on how the rows are stored. Numbering
+    equal rows is cut into buckets like any ordered computation, so many copies are no bottleneck.
+    """
+    content = F.xxhash64(*(F.col(c).cast("string") for c in sorted(df.columns)))
+    rows = materialize(df.withColumns({"_content": content, "_scan": F.monotonically_increasing_id()}), "rows")
+    counted = running_sum(rows.select("_content", "_scan"), ["_content"], "_scan", {"_copy": F.lit(1)})
+    named = rows.join(counted, ["_content", "_scan"]).withColumn("row_id", F.xxhash64("_content", "_copy"))
+    return materialize(named.drop("_content", "_scan", "_copy"), "dataset")
+
+
+def bounded(df: DataFrame, most: int | None) -> DataFrame:
+    """About ``most`` rows, the same share of every class, chosen by hash of row_id; all without a bound."""
+    n = df.count() if most else 0
+    if not most or n <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(1 << 30)) < (1 << 30) * most // n)
 
 
 def run_training(dataset: DataFrame, config: TrainingConfig | None = None, base: DataFrame | None = None) -> TrainingResult:
@@ -72,31 +92,29 @@ def run_training(dataset: DataFrame, config: TrainingConfig | None = None, base:
 
     leakage = None
     if config.leakage_check:
-        per_fold = training.leakage_check(rows, features, "row_id", effort=config.effort, seed=config.seed)
+        per_fold = training.leakage_check(rows, features, "row_id", settings=config.settings, seed=config.seed)
         leakage = evaluation.fold_summary(per_fold)
 
     parts = stratified_split(rows, "y", "row_id", config.test_fraction, config.seed)
-    train = parts.filter(~F.col("is_test")).drop("is_test").cache()
-    test = parts.filter("is_test").drop("is_test").cache()
+    train = materialize(bounded(parts.filter(~F.col("is_test")).drop("is_test"), config.max_fit_rows), "train")
+    test = materialize(parts.filter("is_test").drop("is_test"), "test")
 
     method, chosen = "all", features
     if config.selection == "best":
         method, chosen = select_best_method(
-            train, features, config.methods, "row_id", config.seed, config.selection_trees,
+            train, features, config.methods, "row_id", config.seed, config.judge_trees,
             test if config.choose_on_test else None,
         )
     elif config.selection:
         method = config.selection
-        chosen = select_features(train, features, method, seed=config.seed, trees=config.selection_trees)
+        chosen = select_features(train, features, method, seed=config.seed)
 
     fit_on = train.select("row_id", "y", *chosen)
     if config.balance:
         fit_on = materialize(rebalance(fit_on, "row_id", chosen, seed=config.seed), "balanced")
     models = training.train_and_measure(
-        fit_on, test, chosen, config.models, config.effort, config.seed, config.parallelism
+        fit_on, test, chosen, config.models, config.settings, config.seed, config.parallelism
     )
-    train.unpersist()
-    test.unpersist()
     if config.save_to:
         save_models(spark, models, config.save_to, config.save_top)
     return TrainingResult(models, chosen, method, training.metrics_table(spark, models), leakage)

@@ -13,15 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """A scan with at least as many partitions as task slots, for work that is heavy per row.
-
-    Only a scan of few, small files is shuffled; a large table already has enough splits.
-    """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)
-
-
 def order_hash(column: str):
     return F.sha1(F.col(column).cast("string").cast("binary"))
 
@@ -61,11 +52,7 @@ def with_parents(commits: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) ->
 
 def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as changed files of their order."""
-    lines = spread_scan(
-        table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount"
-        )
-    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         order_hash("l_orderkey").alias("commit_hash"),
@@ -80,7 +67,7 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape_events(spread_scan(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")))
+    return shape_events(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
 
 
 def shape_events(events: DataFrame) -> DataFrame:
@@ -150,7 +137,7 @@ def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each answer against the turn before it, written as a one-hunk unified diff."""
+    """Each turn against the one before it ('' before the first), written as a unified diff."""
     turns = table(spark, sf_dir, "conversations")
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
     prefixed = lambda c, mark: F.concat(F.lit(mark), F.replace(c, F.lit("\n"), F.lit("\n" + mark)))
@@ -160,7 +147,8 @@ def conversation_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         prefixed(F.col("before"), "-"), F.lit("\n"), prefixed(F.col("text"), "+"),
         F.lit("\n same\n@@ -"), old + 500, F.lit(" +"), new + 700, F.lit(" @@\n-last\n+last"),
     )
-    return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", "before", "text", diff.alias("diff"))
+    pairs = turns.join(before, ["conv_id", "turn"], "left").na.fill("", ["before"])
+    return pairs.select("conv_id", "turn", "before", "text", diff.alias("diff"))
 
 
 def blame_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +219,7 @@ def source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = "(1 + o_orderkey % 4)"
     extension = "element_at(array('.py', '.java', '.js'), cast(o_orderkey % 3 + 1 as int))"
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
-    commits = shape_orders(spread_scan(table(spark, sf_dir, "orders").select(*columns)))
+    commits = shape_orders(table(spark, sf_dir, "orders").select(*columns))
     return commits.select(
         "o_orderkey",
         "commit_hash",
@@ -256,7 +244,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"
     )
-    base = spread_scan(lines).select(
+    base = lines.select(
         F.concat(F.lit("order"), F.col("l_orderkey")).alias("filename"),
         F.concat(F.lit("item_"), F.col("l_linenumber")).alias("function_name"),
         (F.col("l_partkey") % 100 + 1).alias("function_start_line"),

@@ -11,7 +11,12 @@ from faultline.session import scratch
 from faultline.sources import datasets, model_store
 from faultline.streaming import jobs
 
-SMALL = training.Effort(trees=3, depth=3, iterations=10)
+SMALL = {
+    "Logistic Regression": {"maxIter": 10},
+    "Decision Tree": {"maxDepth": 3},
+    "Random Forest": {"numTrees": 3, "maxDepth": 3},
+    "Gradient Boosting": {"maxIter": 3, "maxDepth": 3},
+}
 
 
 def test_split_is_a_stratified_partition(spark):
@@ -170,7 +175,7 @@ def separable(spark, n=240, seed=8):
 def test_training_end_to_end(spark):
     path = scratch(spark, "test-models")
     config = TrainingConfig(
-        selection="selectkbest", effort=SMALL, save_to=path,
+        selection="selectkbest", settings=SMALL, save_to=path,
         models=["Logistic Regression", "Decision Tree", "Random Forest", "Gradient Boosting", "Naive Bayes"],
     )
     result = run_training(separable(spark), config)
@@ -216,7 +221,7 @@ def test_missing_features_count_as_zero(spark):
 def test_offline_preset(spark):
     from dataclasses import replace
 
-    config = replace(OFFLINE, effort=SMALL, models=["Logistic Regression", "Naive Bayes", "Decision Tree"])
+    config = replace(OFFLINE, settings=SMALL, models=["Logistic Regression", "Naive Bayes", "Decision Tree"])
     result = run_training(separable(spark, 120), config)
     assert result.leakage.first().verdict in ("leakage", "possible leakage", "realistic")
     assert result.features == ["added_lines", "deleted_lines", "nloc", "total_changes", "net_lines", "code_churn"]
