@@ -143,7 +143,7 @@ class PageTree(HTMLParser):
             if at == tag:
                 self._close_to(k)
                 return
-            if tag not in BLOCK and at in BLOCK or at in ("td", "th") and tag not in ("tr", "table", "thead", "tbody", "tfoot"):
+            if tag not in BLOCK | HIDDEN and at in BLOCK or at in ("td", "th") and tag not in ("tr", "table", "thead", "tbody", "tfoot"):
                 return
 
     def handle_data(self, data: str) -> None:
