@@ -42,7 +42,8 @@ def pack_block(ids: np.ndarray) -> bytes:
     """One block of at least one id, each below 2**32."""
     low = int(ids.min())
     gaps = (ids.astype(np.int64) - low).astype(np.uint32)
-    width = int(np.percentile(gaps, PERCENTILE, method="higher")).bit_length()
+    rank = -(-(len(gaps) - 1) * PERCENTILE // 100)
+    width = int(np.partition(gaps, rank)[rank]).bit_length()
     odd = np.flatnonzero(gaps >> width) if width < 32 else np.empty(0, np.int64)
     kept = gaps & np.uint32((1 << width) - 1)
     bits = np.unpackbits(kept.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")

@@ -59,7 +59,7 @@ class TextEncoder:
     tokens inside a text count as ordinary text. Null is the empty text.
     """
 
-    def __init__(self, name: str, remembered: int = 250_000):
+    def __init__(self, name: str, remembered: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
