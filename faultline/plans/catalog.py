@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1389,6 +1391,100 @@ def _leakage_check(spark, sf):
     return evaluation.fold_summary(training.leakage_check(materialize(rows, "learning"), columns, "row_id"))
 
 
+# Three models with fixed coefficients, so that storing, loading, scoring and averaging have exact SQL.
+FIXED_MODELS = {
+    "Linear A": "(added_lines + 0.5D) / 50.0D",
+    "Linear B": "(deleted_lines + 0.5D) / 7.0D",
+    "Linear C": "(added_lines + deleted_lines) / 55.0D",
+}
+FIXED_SCORES = """
+    WITH d AS (SELECT doc_id, source, (length(text) % 50)::DOUBLE AS a, (length(text) % 7)::DOUBLE AS b FROM documents),
+    p AS (SELECT doc_id, source, (a + 0.5) / 50 AS pa, (b + 0.5) / 7 AS pb, (a + b) / 55 AS pc FROM d),
+    s AS (
+      SELECT doc_id, source, 'linear_a' AS model_id, 'Linear A' AS name, pa AS probability FROM p
+      UNION ALL SELECT doc_id, source, 'linear_b', 'Linear B', pb FROM p
+      UNION ALL SELECT doc_id, source, 'linear_c', 'Linear C', pc FROM p
+      UNION ALL SELECT doc_id, source, 'ensemble_top_3_', 'Ensemble (Top 3)', (pa + pb + pc) / 3 FROM p)
+    SELECT doc_id AS row_id, source, model_id, name, round(probability, 9) AS probability,
+           CASE WHEN round(probability, 12) >= 0.5 THEN 'BUGGY' ELSE 'CLEAN' END AS label FROM s"""
+
+
+def _stored_fixed_models(spark, sf):
+    """The fixed models and their ensemble, measured, saved and loaded again."""
+    rows, columns = datasets.prepare(_document_rows(spark, sf), keep=["row_id"])
+    models = [
+        training.Trained(
+            name,
+            columns,
+            PipelineModel(
+                [
+                    SQLTransformer(statement=f"SELECT *, round({formula}, 12) AS said FROM __THIS__"),
+                    SQLTransformer(statement="SELECT *, 1.0D - said AS unsaid FROM __THIS__"),
+                    VectorAssembler(inputCols=["unsaid", "said"], outputCol="probability"),
+                ]
+            ),
+        )
+        for name, formula in FIXED_MODELS.items()
+    ]
+    models = training.add_ensemble(rows, training.measure(rows, models))
+    path = scratch(spark, "models")
+    model_store.save_models(spark, models, path)
+    sources = driver_tables.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "source")
+    return rows.join(sources, "row_id"), model_store.load_models(spark, path)
+
+
+@query("fixed_model_scores", FIXED_SCORES)
+def _fixed_model_scores(spark, sf):
+    rows, models = _stored_fixed_models(spark, sf)
+    return rounded(scoring.score(rows, models, keep=["row_id", "source"]), "probability", digits=9)
+
+
+@query("chosen_model_scores", f"SELECT * FROM ({FIXED_SCORES}) WHERE model_id = 'ensemble_top_3_'")
+def _chosen_model_scores(spark, sf):
+    """Scores of one model, chosen by its key."""
+    rows, models = _stored_fixed_models(spark, sf)
+    return rounded(scoring.score(rows, models, "ensemble_top_3_", ["row_id", "source"]), "probability", digits=9)
+
+
+@query(
+    "scores_by_function",
+    f"""SELECT source AS filename, 'doc_' || row_id AS function_name, row_id % 100 AS function_start_line,
+               string_agg(name || '=' || label, ',' ORDER BY name) AS predictions
+        FROM ({FIXED_SCORES}) GROUP BY source, row_id HAVING bool_or(label = 'BUGGY')""",
+)
+def _scores_by_function(spark, sf):
+    """Functions that some stored model calls defective, with what every model says."""
+    rows, models = _stored_fixed_models(spark, sf)
+    named = rows.select(
+        "*",
+        F.col("source").alias("filename"),
+        F.concat(F.lit("doc_"), "row_id").alias("function_name"),
+        (F.col("row_id") % 100).alias("function_start_line"),
+    )
+    scores = scoring.score(named, models, keep=["filename", "function_name", "function_start_line"])
+    found = reporting.by_function(scores, ["filename", "function_name"], ["function_start_line"])
+    shown = found.filter(F.exists("predictions", lambda p: p["label"] == schema.BUGGY))
+    text = F.array_join(F.transform("predictions", lambda p: F.concat_ws("=", p["name"], p["label"])), ",")
+    return shown.select("filename", "function_name", "function_start_line", text.alias("predictions"))
+
+
+@query(
+    "stored_model_metrics",
+    f"""SELECT model_name, tp::BIGINT AS tp, tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn,
+               round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 6) AS accuracy,
+               round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1
+        FROM (SELECT name AS model_name, count_if(y AND label = 'BUGGY') AS tp, count_if(NOT y AND label = 'CLEAN') AS tn,
+                     count_if(NOT y AND label = 'BUGGY') AS fp, count_if(y AND label = 'CLEAN') AS fn
+              FROM (SELECT s.*, coalesce(l.quality = 0, false) AS y FROM ({FIXED_SCORES}) s LEFT JOIN labels l ON l.doc_id = s.row_id)
+              GROUP BY name)""",
+)
+def _stored_model_metrics(spark, sf):
+    """The comparison table of the stored models."""
+    _, models = _stored_fixed_models(spark, sf)
+    table = training.metrics_table(spark, models)
+    return rounded(table.select("model_name", "tp", "tn", "fp", "fn", "accuracy", "f1"), "accuracy", "f1")
+
+
 @query("saved_models")
 def _saved_models(spark, sf):
     path = scratch(spark, "models")
