@@ -9,6 +9,7 @@ bounded size on the query side and on the data side, so no task holds a whole ce
 
 from __future__ import annotations
 
+import math
 from typing import Iterator
 
 import numpy as np
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from faultline.session import materialize
 
 BLOCK_ROWS = 4_000
-MAX_PIVOTS = 1_024
 _CHUNK = 256
 _SLACK = 1e-9
 
@@ -72,7 +72,7 @@ def nearest(
     k: int,
     wanted: Column | None = None,
     block_rows: int = BLOCK_ROWS,
-    max_pivots: int = MAX_PIVOTS,
+    max_pivots: int | None = None,
 ) -> DataFrame:
     """(vec, rank, neighbour, squared_distance) for each vector, ranked by distance and then id.
 
@@ -85,7 +85,8 @@ def nearest(
     n = source.count()
     if n < 2:
         return source.sparkSession.createDataFrame([], "vec string, rank int, neighbour string, squared_distance double")
-    wanted_pivots = max(1, min(max_pivots, n // block_rows))
+    # as many cells as rows in a cell, once there are enough rows for that; the driver holds sqrt(n) pivots
+    wanted_pivots = max(1, min(n // block_rows, max_pivots or math.isqrt(n)))
     pivots = np.array(
         [r["x"] for r in source.orderBy(F.md5("vec"), "vec").limit(wanted_pivots).select("x").collect()],
         dtype=float,
@@ -98,7 +99,7 @@ def nearest(
             yield batch.assign(cell=cell.astype("int32"), radius=d[np.arange(len(d)), cell])
 
     placed = source.mapInPandas(assign, "vec string, x array<double>, asks boolean, cell int, radius double")
-    # at most max_pivots rows
+    # a row a pivot
     cells = placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("radius").alias("inner"), F.max("radius").alias("outer")
     ).collect()
@@ -175,7 +176,7 @@ def nearest(
 def _lookup(df: DataFrame, counts: dict[int, int]) -> DataFrame:
     spark = df.sparkSession
     table = spark.createDataFrame([(int(c), int(v)) for c, v in counts.items()], "cell int, _blocks int")
-    return df.join(F.broadcast(table), "cell")  # at most MAX_PIVOTS rows
+    return df.join(F.broadcast(table), "cell")  # a row a pivot
 
 
 def _in_blocks(df: DataFrame, alias: str, counts: dict[int, int]) -> DataFrame:
