@@ -37,6 +37,7 @@ HEADLINE = [
     "roc_auc",
     "confusion_scores",
     "predictions_by_function",
+    "fixed_model_scores",
     "stream_daily_changes",
 ]
 LONG_RUN = 4.0
