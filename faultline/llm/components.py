@@ -7,37 +7,48 @@ from pyspark.sql import functions as F
 
 from faultline.session import materialize
 
+ROWS_PER_TASK = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node it is connected with, for each end (a, b: long) of an edge.
 
-    Rounds of two steps until nothing changes: every node passes the smallest of itself and its
-    neighbours on to its larger neighbours, then to its smaller ones ("large star, small star").
-    Paths get shorter by a factor each round, a round only groups by node, and minima combine before
-    the shuffle, so a node with very many neighbours is no bottleneck of memory. Each round is a
-    written table. No edges give no rows.
+    Rounds of two steps until all links are stars around a smallest node: every node passes the
+    smallest of itself and its neighbours on to its larger neighbours, then to its smaller ones
+    ("large star, small star"). Paths get shorter by a factor each round. Minima combine before the
+    shuffle and the join that follows can be split, so a node with very many neighbours is no
+    bottleneck. Each step is a written table with as many files as its links need. No edges give no
+    rows.
     """
-    links = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
-    before = None
-    while True:
+    links = edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    links = materialize(links.distinct(), "links")
+    tasks = links.count() // ROWS_PER_TASK + 1
+    while not _stars(links):
         both = links.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(links.select("lo", "hi"))
-        least = both.groupBy("n").agg(F.min("m").alias("_m")).select("n", F.least("n", "_m").alias("top"))
-        large = _hooked(both.filter("m > n"), least)
-        large = materialize(large.distinct(), "large-star")
+        least = both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("top"))
+        large = _written(_hooked(both.filter("m > n"), least, tasks), tasks)
         down = large.select(F.col("hi").alias("n"), F.col("lo").alias("m"))
         least = down.groupBy("n").agg(F.min("m").alias("top"))
-        small = _hooked(down, least).union(least.select(F.col("n").alias("hi"), F.col("top").alias("lo")))
-        links = materialize(small.filter("hi <> lo").distinct(), "small-star")
-        seen = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if seen == before:
-            break
-        before = seen
+        small = _hooked(down, least, tasks).union(large.groupBy("hi").agg(F.min("lo").alias("lo")))
+        links = _written(small, tasks)
     roots = links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.union(links.select("lo", "lo").distinct())
 
 
-def _hooked(pairs: DataFrame, least: DataFrame) -> DataFrame:
+def _written(links: DataFrame, tasks: int) -> DataFrame:
+    return materialize(links.distinct().coalesce(tasks), "links")
+
+
+def _hooked(pairs: DataFrame, least: DataFrame, tasks: int) -> DataFrame:
     """Each neighbour m of n linked to the smallest node that n knows."""
-    least = materialize(least, "least")  # both sides are then dealt out alike, and a hot node can be split
-    met = pairs.join(least, "n").select(F.col("m").alias("x"), F.col("top").alias("y")).filter("x <> y")
-    return met.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo"))
+    least = materialize(least.coalesce(tasks), "least")  # both sides are then dealt out alike, and a hot node can be split
+    met = pairs.join(least, "n").filter("m <> top")
+    return met.select(F.greatest("m", "top").alias("hi"), F.least("m", "top").alias("lo"))
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether each larger end has one smaller end that is nobody's larger end."""
+    ends = links.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(links.select("lo", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.count_if((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") == 1))).first()[0] == 0
