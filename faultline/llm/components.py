@@ -1,4 +1,4 @@
-"""Connected components of a graph held in tables."""
+"""Connected components of a graph, and roots of a forest, held in tables."""
 
 from __future__ import annotations
 
@@ -52,3 +52,20 @@ def _stars(links: DataFrame) -> bool:
     ends = ends.union(links.select("lo", F.lit(0), F.lit(1)))
     nodes = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
     return nodes.agg(F.count_if((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") == 1))).first()[0] == 0
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """``node`` and its topmost ancestor ``root`` for each row (node, parent: long) of a forest.
+
+    Pointers double: each round, a node that does not point to a root yet takes over the pointer of
+    the node it points to. Nodes that are done only serve others, and a round joins on single nodes.
+    """
+    pointers = parents.select("node", F.col("parent").alias("root"), F.lit(False).alias("done"))
+    pointers = materialize(pointers, "pointers")
+    tasks = pointers.count() // ROWS_PER_TASK + 1
+    while not pointers.filter(~F.col("done")).isEmpty():
+        above = pointers.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        moved = pointers.filter(~F.col("done")).join(above, "root", "left")
+        moved = moved.select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNull().alias("done"))
+        pointers = materialize(moved.union(pointers.filter("done")).coalesce(tasks), "pointers")
+    return pointers.select("node", "root")

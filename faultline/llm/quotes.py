@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import LEAST_ID, SEPARATORS, join_groups, let, numbered, text_of
-from faultline.llm.components import components
+from faultline.llm.components import roots
 from faultline.session import materialize
 
 MARKS = r"^(?:[ \t]*>)+"
@@ -113,11 +113,11 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         F.max(F.when(earlier & (F.col("depth") == 1), F.col("origin_turn"))).alias("parent_turn"),
     )
     linked = materialize(linked, "links")
-    roots = components(linked.filter("parent IS NOT NULL").select(F.col("row_no").alias("a"), F.col("parent").alias("b")))
+    tops = roots(linked.filter("parent IS NOT NULL").select(F.col("row_no").alias("node"), "parent"))
     threaded = (
         rows.drop("quotes", "units")
         .join(linked, "row_no", "left")
-        .join(roots.withColumnRenamed("node", "row_no"), "row_no", "left")
+        .join(tops.withColumnRenamed("node", "row_no"), "row_no", "left")
         .withColumn("_thread", F.coalesce("root", "row_no"))
     )
     ordered = numbered(materialize(threaded, "threads"), ["_conv", "_thread", "row_no"], "threads-order", "_place")

@@ -15,7 +15,7 @@ from check_queries import difference, duck
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from faultline.llm import catalog, quality, sharding, simhash, stages
-from faultline.llm.components import components
+from faultline.llm.components import components, roots
 from faultline.llm.digest_index import DigestIndex, deduplicate
 from faultline.llm.language import DIMENSIONS, Profiler, identify, identify_documents, learn
 
@@ -181,6 +181,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_roots(spark):
+    pairs = [(k, k - 1) for k in range(1, 300)] + [(1000 + k, 1000) for k in range(1, 50)] + [(2001, 2000)]
+    got = {r.node: r.root for r in roots(spark.createDataFrame(pairs, "node long, parent long")).collect()}
+    assert got == {k: 0 for k in range(1, 300)} | {1000 + k: 1000 for k in range(1, 50)} | {2001: 2000}
+    assert roots(spark.createDataFrame([], "node long, parent long")).count() == 0
+
+
 # --- quality rules -----------------------------------------------------------------------------
 
 
