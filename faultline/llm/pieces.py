@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from faultline.llm.tokens import vocabulary
 
 SPACE = "▁"
+SHORT = 64  # up to as many characters, looking at all edges beats a heap
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -23,12 +25,12 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     Prefix doubling: ranks by one character give ranks by two, these by four, and so on.
     """
     ranks = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    order, seen = np.argsort(ranks, kind="stable"), 1
+    order, seen = np.argsort(ranks), 1
     while seen < depth:
         later = np.zeros_like(ranks)
         later[:-seen] = ranks[seen:]
         keys = ranks * (len(codes) + 2) + later
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         steps = np.diff(keys[order], prepend=keys[order[0]]) != 0
         ranks[order] = np.cumsum(steps) + 1
         seen *= 2
@@ -72,7 +74,7 @@ class PieceCoder:
     other ids here.
     """
 
-    def __init__(self, name: str = "piece_bpe_32k.model", remembered: int = 200_000):
+    def __init__(self, name: str = "piece_bpe_32k.model", remembered: int = 800_000):
         from sentencepiece import SentencePieceProcessor
 
         self.library = sp = SentencePieceProcessor(model_file=vocabulary(name))
@@ -83,10 +85,12 @@ class PieceCoder:
         texts = [sp.id_to_piece(i) for i in plain]
         if any(SPACE in t.lstrip(SPACE) for t in texts):
             raise ValueError("pieces run across blanks: texts cannot be cut before them")
-        self.ids = np.array(plain)
+        self.plain, self.ids = plain, np.array(plain)
         self.lengths = np.array([len(t) for t in texts])
         self.scores = np.array([sp.get_score(i) for i in plain])
+        self.ranks = np.unique(-self.scores, return_inverse=True)[1].tolist()
         self.depth = int(self.lengths.max())
+        self.width = self.depth + 1  # an edge is its start times this plus its length
         self.patterns = np.zeros((len(texts), self.depth), np.uint32)
         for k, t in enumerate(texts):
             self.patterns[k, : len(t)] = np.frombuffer(t.encode("utf-32-le"), "<u4")
@@ -102,28 +106,68 @@ class PieceCoder:
         piece = np.repeat(np.arange(len(counts)), counts)
         within = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
         place = order[first[piece] + within]
-        by_place = np.argsort(place * (self.depth + 1) + self.lengths[piece], kind="stable")
-        return place[by_place], piece[by_place]
+        edges = place * self.width + self.lengths[piece]
+        by_place = np.argsort(edges)
+        return edges[by_place], piece[by_place]
 
     def _learn(self, units: list[str]) -> None:
         """Encode new units together."""
-        text = "\0".join(units)
-        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
-        place, piece = self._edges(codes)
-        ends = np.cumsum([len(u) + 1 for u in units])
-        starts = np.concatenate([[0], ends[:-1]])
-        cuts = np.searchsorted(place, np.concatenate([starts, ends[-1:]])).tolist()
-        stops, scores, ids = (place + self.lengths[piece]).tolist(), (-self.scores[piece]).tolist(), self.ids[piece].tolist()
-        place = place.tolist()
-        for unit, base, a, b in zip(units, starts.tolist(), cuts, cuts[1:]):
-            edges = {(p - base, q - base): (s, i) for p, q, s, i in zip(place[a:b], stops[a:b], scores[a:b], ids[a:b])}
-            self.known[unit] = np.array(self._relaxed(unit, edges), "<u4").tobytes()
-
-    def _relaxed(self, unit: str, edges: dict[tuple[int, int], tuple[float, int]]) -> list[int]:
-        n = len(unit)
+        codes = np.frombuffer("\0".join(units).encode("utf-32-le"), "<u4")
+        edges, piece = self._edges(codes)
+        single = edges % self.width == 1
+        letters = np.full(len(codes), -1)
+        letters[edges[single] // self.width] = self.ids[piece[single]]
+        letters, table = letters.tolist(), dict(zip(edges[~single].tolist(), piece[~single].tolist()))
+        base = 0
+        for unit in units:
+            n = len(unit)
+            cuts = self._relaxed(base, n, table) if n <= SHORT else self._relaxed_long(base, n, table)
+            out = []
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a > 1:
+                    out.append(self.plain[table[a * self.width + b - a]])
+                elif letters[a] >= 0:
+                    out.append(letters[a])
+                else:
+                    raw = unit[a - base].encode()
+                    out += [self.bytes_ids[x] for x in raw] if self.bytes_ids else [self.unknown]
+            self.known[unit] = array("I", out).tobytes()
+            base += n + 1
+
+    def _relaxed(self, base: int, n: int, table: dict[int, int]) -> list[int]:
+        """Places between the pieces of ``n`` characters: the best edge is found by looking at all."""
+        width, ranks, get = self.width, self.ranks, table.get
+        cuts = list(range(base, base + n + 1))
+        none = len(ranks)
+        found = [get(k) for k in range(base * width + 2, (base + n - 1) * width + 2, width)]
+        order = [none if f is None else ranks[f] for f in found]
+        while order:
+            best = min(order)
+            if best == none:
+                break
+            k = order.index(best)
+            del cuts[k + 1], order[k]
+            if k < len(order):
+                f = get(cuts[k] * width + cuts[k + 2] - cuts[k])
+                order[k] = none if f is None else ranks[f]
+            if k:
+                f = get(cuts[k - 1] * width + cuts[k + 1] - cuts[k - 1])
+                order[k - 1] = none if f is None else ranks[f]
+        return cuts
+
+    def _relaxed_long(self, base: int, n: int, table: dict[int, int]) -> list[int]:
+        """The same with a heap, in time n log n."""
+        width, ranks, get = self.width, self.ranks, table.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [(edges[k, k + 2][0], k, k + 1, k + 2) for k in range(n - 1) if (k, k + 2) in edges]
-        heapq.heapify(waiting)
+        waiting = []
+
+        def add(a: int, b: int, c: int) -> None:
+            f = get((base + a) * width + c - a)
+            if f is not None:
+                heapq.heappush(waiting, (ranks[f], a, b, c))
+
+        for k in range(n - 1):
+            add(k, k + 1, k + 2)
         while waiting:
             _, a, b, c = heapq.heappop(waiting)
             if after[a] != b or after[b] != c:
@@ -131,22 +175,14 @@ class PieceCoder:
             after[a], after[b] = c, -1
             if c < n:
                 before[c] = a
-                right = after[c]
-                if (a, right) in edges:
-                    heapq.heappush(waiting, (edges[a, right][0], a, c, right))
-            left = before[a]
-            if left >= 0 and (left, c) in edges:
-                heapq.heappush(waiting, (edges[left, c][0], left, a, c))
-        out, k = [], 0
+                add(a, c, after[c])
+            if before[a] >= 0:
+                add(before[a], a, c)
+        cuts, k = [base], 0
         while k < n:
-            edge = edges.get((k, after[k]))
-            if edge:
-                out.append(edge[1])
-            else:
-                raw = unit[k : after[k]].encode()
-                out += [self.bytes_ids[x] for x in raw] if self.bytes_ids else [self.unknown]
             k = after[k]
-        return out
+            cuts.append(base + k)
+        return cuts
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is the empty text."""

@@ -39,7 +39,9 @@ def test_pieces_are_those_of_the_library():
     assert ours.encode([None]) == [b""]
 
 
-def test_pieces_of_random_texts():
+@pytest.mark.parametrize("short", [0, 64])
+def test_pieces_of_random_texts(monkeypatch, short):
+    monkeypatch.setattr("faultline.llm.pieces.SHORT", short)
     ours, rng = PieceCoder(), random.Random(3)
     texts = ["".join(rng.choice("abcdehinorst   ,.\né日") for _ in range(rng.randrange(80))) for _ in range(400)]
     assert [np.frombuffer(i, "<u4").tolist() for i in ours.encode(texts)] == ours.library.encode(texts)
