@@ -30,7 +30,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations in reply order without quotations, after each turn quotes the two before it."""
-    return link_quotes(quoting(prepared(spark).read.parquet(f"{sf_dir}/conversations.parquet")))
+    return link_quotes(quoting(prepared(spark).read.parquet(f"{sf_dir}/conversations.parquet")), trimmed=True)
 
 
 OP2_SQL = r"""

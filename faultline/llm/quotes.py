@@ -23,6 +23,11 @@ def passage_hash(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
+def _filled(text: Column) -> Column:
+    """The normalised lines of a text that are not blank."""
+    return F.filter(F.transform(F.split(text, "\n", -1), normalised), lambda line: line != "")
+
+
 def _lines(text: Column) -> Column:
     """Each line's quote depth and its words without the marks."""
     def parse(line: Column) -> Column:
@@ -52,10 +57,22 @@ def _runs(lines: Column) -> Column:
 def parsed(messages: DataFrame) -> DataFrame:
     """Own text, quoted passages and the hashes under which each message can be quoted; a written table.
 
-    A message can be quoted whole, by a passage between its own quotations, or by one line.
+    A message can be quoted whole, by a passage between its own quotations, or by one line; a quotation
+    also keeps its number of lines and the hash of the first, to be looked up among several lines.
     """
     blank = lambda t: F.length(F.translate(t, SEPARATORS, "")) == 0
 
+    def quote(q: Column) -> Column:
+        def described(filled: Column) -> Column:
+            return F.struct(
+                q["depth"].alias("depth"),
+                passage_hash(q["text"]).alias("hash"),
+                F.size(filled).alias("n_lines"),
+                F.xxhash64(F.get(filled, F.lit(0))).alias("first"),
+            )
+
+        return let(_filled(q["text"]), described)
+
     def parts(lines: Column) -> Column:
         own = F.filter(lines, lambda x: x["depth"] == 0)
         body = F.array_join(F.transform(own, lambda x: x["words"]), "\n")
@@ -66,7 +83,7 @@ def parsed(messages: DataFrame) -> DataFrame:
             units = F.concat(F.array(body), own_runs, F.transform(own, lambda x: x["words"]))
             return F.struct(
                 F.regexp_replace(body, rf"^{_SPACE}|{_SPACE}$", "").alias("body"),
-                F.transform(quotes, lambda q: F.struct(q["depth"].alias("depth"), passage_hash(q["text"]).alias("hash"))).alias("quotes"),
+                F.transform(quotes, quote).alias("quotes"),
                 F.array_distinct(F.transform(F.filter(units, lambda u: ~blank(u)), passage_hash)).alias("units"),
             )
 
@@ -83,11 +100,37 @@ def parsed(messages: DataFrame) -> DataFrame:
     return materialize(rows.select("conv_id", "turn", "role", "_conv", "_parts.*", "_scan"), "messages")
 
 
-def link_quotes(messages: DataFrame) -> DataFrame:
+def line_origins(rows: DataFrame, sought: DataFrame) -> DataFrame:
+    """The first message with the lines of a passage one after another, by ``_conv`` and ``hash``.
+
+    Blank lines do not count. The lines of a message are hashed together only where one is the first of
+    a passage in ``sought`` (_conv, first, n_lines), and only as many as such a passage has, so common
+    lines meet one row for each conversation, not one another.
+    """
+    lengths = sought.groupBy("_conv", "first").agg(F.collect_set("n_lines").alias("lengths"))
+    dated = rows.filter("turn IS NOT NULL")
+    places = dated.select("_conv", "row_no", F.posexplode(F.transform(_filled(F.col("body")), lambda line: F.xxhash64(line))).alias("at", "first"))
+    starts = places.join(lengths, ["_conv", "first"]).groupBy("row_no").agg(F.collect_list(F.struct("at", "lengths")).alias("starts"))
+
+    def windows(filled: Column) -> Column:
+        def of(start: Column) -> Column:
+            fits = F.filter(start["lengths"], lambda n: start["at"] + n <= F.size(filled))
+            return F.transform(fits, lambda n: passage_hash(F.array_join(F.slice(filled, start["at"] + 1, n), " ")))
+
+        return F.array_distinct(F.flatten(F.transform("starts", of)))
+
+    found = dated.join(materialize(starts, "line-starts"), "row_no")
+    hashes = found.select("_conv", "row_no", "turn", F.explode(let(_filled(F.col("body")), windows)).alias("hash"))
+    origins = hashes.groupBy("_conv", "hash").agg(F.min("row_no").alias("line_origin"), F.min("turn").alias("line_turn"))
+    return materialize(origins, "line-origins")
+
+
+def link_quotes(messages: DataFrame, trimmed: bool = False) -> DataFrame:
     """One row a message: its own text, the turn it replies to and its place among the replies.
 
     A quoted passage is linked to the first message of the conversation that has it, as a whole, as
-    a passage or as a line, if that is from an earlier turn. A message replies to the latest message
+    a passage or as a line, if that is from an earlier turn; with ``trimmed`` else to the first earlier one
+    that has its lines one after another, blank ones aside. A message replies to the latest message
     linked from its quotations of depth 1. ``position`` orders a conversation by threads: a message
     that replies to none opens a thread, threads follow their first message, and within a thread the
     turns keep their order, so that every reply comes after what it answers. ``parent_turn`` is -1 for a
@@ -105,8 +148,16 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     origins = units.groupBy("_conv", "hash").agg(F.min("row_no").alias("origin"), F.min("turn").alias("origin_turn"))
     origins = materialize(origins, "passages")
     quotes = rows.select("_conv", F.explode("quotes").alias("q"), "row_no", "turn").select("_conv", "q.*", "row_no", "turn")
-    earlier = F.col("origin_turn") < F.col("turn")
-    linked = quotes.join(origins, ["_conv", "hash"], "left").groupBy("row_no").agg(
+    earlier = F.coalesce(F.col("origin_turn") < F.col("turn"), F.lit(False))
+    quotes = materialize(quotes.join(origins, ["_conv", "hash"], "left"), "quotations")
+    left = ~earlier & (F.col("n_lines") > 1)
+    if trimmed and not quotes.filter(left).isEmpty():
+        by_line = quotes.join(line_origins(rows, quotes.filter(left)), ["_conv", "hash"], "left")
+        quotes = by_line.withColumns({
+            "origin": F.when(left, F.col("line_origin")).otherwise(F.col("origin")),
+            "origin_turn": F.when(left, F.col("line_turn")).otherwise(F.col("origin_turn")),
+        })
+    linked = quotes.groupBy("row_no").agg(
         F.count(F.lit(1)).alias("n_quotes"),
         F.count_if(earlier).alias("n_linked"),
         F.max(F.when(earlier & (F.col("depth") == 1), F.col("origin"))).alias("parent"),

@@ -147,3 +147,54 @@ def test_repeated_messages_all_stay(spark):
     got = link_quotes(spark.createDataFrame(rows, MESSAGE)).collect()
     assert sorted(r.position for r in got) == [0, 1, 2, 3]
     assert sorted(r.parent_turn for r in got) == [-1, -1, 0, 0]
+
+
+def test_trimmed_quotations(spark):
+    """Several lines out of a message are linked to the first message that has them one after another."""
+    five = "first point\nsecond point\n\nthird  Point\nfourth point\nfifth point"
+    rows = [
+        (1, 0, "user", five),
+        (1, 1, "user", "> SECOND point\n> third point\nagreed"),
+        (1, 2, "user", ">> second point\n>> third point\n> agreed\nme too"),
+        (1, 3, "user", "> second point\n> fourth point\nno such lines"),
+        (1, 4, "user", "> fourth point\n>\n> fifth point\n> sixth point\nmore than it has"),
+        (1, 5, "user", "> third point\n> fourth point\n> fifth point\nto the end"),
+        (2, 0, "user", "> second point\n> third point\nanother conversation"),
+        (2, 1, "user", "a\nb\na\nb\nc"),
+        (2, 2, "user", "> a\n> b\n> c\nin the second place"),
+        (2, 3, "user", "b\nc"),
+        (2, 4, "user", "> b\n> c\nwhole beats lines"),
+        (3, 0, "user", "> later one\n> later two\nquotes what comes after"),
+        (3, 1, "user", "later one\nlater two\nend"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in link_quotes(spark.createDataFrame(rows, MESSAGE).repartition(3), trimmed=True).collect()}
+    parents = {k: r.parent_turn for k, r in got.items()}
+    assert parents == {
+        (1, 0): -1, (1, 1): 0, (1, 2): 1, (1, 3): -1, (1, 4): -1, (1, 5): 0,
+        (2, 0): -1, (2, 1): -1, (2, 2): 1, (2, 3): -1, (2, 4): 3, (3, 0): -1, (3, 1): -1,
+    }
+    assert got[1, 2].n_quotes == got[1, 2].n_linked == 2
+    assert [got[1, t].position for t in range(6)] == [0, 1, 2, 4, 5, 3]
+
+
+def test_trimmed_quotations_of_random_messages(spark):
+    rng = random.Random(9)
+    rows, wanted = [], {}
+    for conv in range(4):
+        said = []
+        for turn in range(30):
+            own = [f"w{rng.randrange(5)}" for _ in range(rng.randrange(2, 7))]
+            rows.append((conv, turn, "user", "\n".join(own)))
+            parent = -1
+            if said and turn % 2:
+                source = rng.choice(said)
+                a = rng.randrange(len(source) - 1)
+                part = source[a : rng.randrange(a + 2, len(source) + 1)]
+                rows[-1] = (conv, turn, "user", "\n".join([*("> " + x for x in part), *own]))
+                whole = [t for t, x in enumerate(said) if x == part]
+                lines = [t for t, x in enumerate(said) if any(x[k : k + len(part)] == part for k in range(len(x)))]
+                parent = (whole or lines)[0]
+            said.append(own)
+            wanted[conv, turn] = parent
+    got = link_quotes(spark.createDataFrame(rows, MESSAGE).repartition(3), trimmed=True).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in got} == wanted
