@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import schema
-from faultline.operators.sampling import stratified_split
+from faultline.operators.sampling import bounded, stratified_split
 
 log = logging.getLogger(__name__)
 
@@ -185,9 +185,14 @@ def select_features(
     n: int | None = None,
     seed: int = schema.SEED,
     trees: int | None = None,
+    fit_on: DataFrame | None = None,
 ) -> list[str]:
-    """Features chosen by a method; an unknown or failing method keeps all of them."""
+    """Features chosen by a method; an unknown or failing method keeps all of them.
+
+    Statistics come from all rows; forests are fitted on ``fit_on`` if that is given.
+    """
     n = feature_count(len(features), n)
+    fit_on = df if fit_on is None else fit_on
     try:
         if method == "selectkbest":
             return top_features(anova_scores(df, features), n)
@@ -196,9 +201,9 @@ def select_features(
         if method == "chi2":
             return top_features(chi2_scores(df, features), n)
         if method == "rfe":
-            return eliminate(df, features, n, trees or 50, seed)
+            return eliminate(fit_on, features, n, trees or 50, seed)
         if method == "importance":
-            return [f for f, _ in forest_importances(df, features, trees or 100, seed)][:n]
+            return [f for f, _ in forest_importances(fit_on, features, trees or 100, seed)][:n]
         log.warning("unknown feature selection method %s, keeping all features", method)
     except Exception as e:  # a failing selector must not stop a training run
         log.warning("feature selection %s failed (%s), keeping all features", method, e)
@@ -213,21 +218,24 @@ def select_best_method(
     seed: int = schema.SEED,
     judge_trees: int = 50,
     test: DataFrame | None = None,
+    max_fit_rows: int | None = None,
 ) -> tuple[str, list[str]]:
     """The method whose features give a forest of ``judge_trees`` the best accuracy; the first one wins ties.
 
     Accuracy is taken on a held-out fifth of the training rows. Passing ``test`` uses those rows
-    instead, which leaks the test set into the choice.
+    instead, which leaks the test set into the choice. ``max_fit_rows`` bounds the rows that forests are
+    fitted on, not those that give statistics or judge.
     """
     if test is None:
         parts = stratified_split(train, "y", id_column, 0.2, seed + 1)
         fit_on, judge_on = parts.filter(~F.col("is_test")).cache(), parts.filter("is_test").cache()
     else:
         fit_on, judge_on = train, test
+    fewer = bounded(fit_on, max_fit_rows, id_column=id_column)
     best = ("none", list(features), -1.0)
     for method in methods:
-        chosen = select_features(fit_on, features, method, seed=seed)
-        model = _forest(fit_on, chosen, judge_trees, seed, DEEPEST)
+        chosen = select_features(fit_on, features, method, seed=seed, fit_on=fewer)
+        model = _forest(fewer, chosen, judge_trees, seed, DEEPEST)
         judged = model.transform(VectorAssembler(inputCols=chosen, outputCol="features").transform(judge_on))
         accuracy = judged.agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
         if accuracy is not None and accuracy > best[2]:

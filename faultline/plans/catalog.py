@@ -32,7 +32,7 @@ from faultline.operators import (
 )
 from faultline.plans import mining
 from faultline.plans import scoring as scoring_plan
-from faultline.plans.training import TrainingConfig, bounded, run_training
+from faultline.plans.training import TrainingConfig, run_training
 from faultline.session import materialize, scratch, tune
 from faultline.sources import datasets, driver_tables, files, history, issues, model_store
 from faultline.streaming import jobs
@@ -1374,14 +1374,14 @@ def _trained_models(spark, sf):
 @query("best_feature_method")
 def _best_feature_method(spark, sf):
     rows, columns = datasets.prepare(_document_rows(spark, sf), keep=["row_id"])
-    method, chosen = selection.select_best_method(bounded(materialize(rows, "learning"), 20_000), columns)
+    method, chosen = selection.select_best_method(materialize(rows, "learning"), columns, max_fit_rows=20_000)
     return spark.createDataFrame([(method, c) for c in chosen], "method string, feature string")
 
 
 @query("feature_importances")
 def _feature_importances(spark, sf):
     rows, columns = datasets.prepare(_document_rows(spark, sf), keep=["row_id"])
-    found = selection.forest_importances(bounded(rows, 20_000), columns)
+    found = selection.forest_importances(sampling.bounded(rows, 20_000), columns)
     return reporting.top_importances(spark.createDataFrame(found, "feature string, importance double"))
 
 

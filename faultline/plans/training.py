@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultline import schema
 from faultline.operators import evaluation, training
 from faultline.operators.balance import rebalance
-from faultline.operators.sampling import stratified_split
+from faultline.operators.sampling import bounded, stratified_split
 from faultline.operators.selection import select_best_method, select_features
 from faultline.operators.spread import running_sum
 from faultline.operators.training import Settings, Trained
@@ -34,7 +34,8 @@ class TrainingConfig:
     models: list[str] | None = None
     # parameters that replace those of a preset, by model name
     settings: Settings | None = None
-    # about as many rows at most are fitted on, a share of each class by hash of their content; None fits on all
+    # about as many rows at most are fitted on, small classes whole, by hash of their content; None fits on all.
+    # Statistics that select features and rows that judge them are never bounded
     max_fit_rows: int | None = None
     leakage_check: bool = False
     parallelism: int = 1
@@ -74,14 +75,6 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return materialize(named.drop("_content", "_scan", "_copy"), "dataset")
 
 
-def bounded(df: DataFrame, most: int | None) -> DataFrame:
-    """About ``most`` rows, the same share of every class, chosen by hash of row_id; all without a bound."""
-    n = df.count() if most else 0
-    if not most or n <= most:
-        return df
-    return df.filter(F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(1 << 30)) < (1 << 30) * most // n)
-
-
 def run_training(dataset: DataFrame, config: TrainingConfig | None = None, base: DataFrame | None = None) -> TrainingResult:
     """Clean, split, select features, even out classes, fit, measure, rank and save."""
     config = config or TrainingConfig()
@@ -96,20 +89,21 @@ def run_training(dataset: DataFrame, config: TrainingConfig | None = None, base:
         leakage = evaluation.fold_summary(per_fold)
 
     parts = stratified_split(rows, "y", "row_id", config.test_fraction, config.seed)
-    train = materialize(bounded(parts.filter(~F.col("is_test")).drop("is_test"), config.max_fit_rows), "train")
+    train = materialize(parts.filter(~F.col("is_test")).drop("is_test"), "train")
+    fewer = bounded(train, config.max_fit_rows)
     test = materialize(parts.filter("is_test").drop("is_test"), "test")
 
     method, chosen = "all", features
     if config.selection == "best":
         method, chosen = select_best_method(
             train, features, config.methods, "row_id", config.seed, config.judge_trees,
-            test if config.choose_on_test else None,
+            test if config.choose_on_test else None, config.max_fit_rows,
         )
     elif config.selection:
         method = config.selection
-        chosen = select_features(train, features, method, seed=config.seed)
+        chosen = select_features(train, features, method, seed=config.seed, fit_on=fewer)
 
-    fit_on = train.select("row_id", "y", *chosen)
+    fit_on = fewer.select("row_id", "y", *chosen)
     if config.balance:
         fit_on = materialize(rebalance(fit_on, "row_id", chosen, seed=config.seed), "balanced")
     models = training.train_and_measure(

@@ -242,3 +242,27 @@ def test_reports(spark):
     assert (counted.prediction_count, counted.function_count) == (3, 1)
     top = reporting.top_importances(spark.createDataFrame([("a_b", 0.5), ("c", 0.25)], "feature string, importance double"))
     assert [(r.label, r.width) for r in top.orderBy(F.desc("width")).collect()] == [("A B", 100.0), ("C", 50.0)]
+
+
+def test_bound_keeps_rare_classes(spark):
+    df = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") % 1000 == 0).cast("int").alias("y"))
+    sizes = {r.y: r["count"] for r in sampling.bounded(df, 1000).groupBy("y").count().collect()}
+    assert sizes[1] == 20 and 880 < sizes[0] < 1080
+    even = df.withColumn("y", (F.col("row_id") % 4 == 0).cast("int"))
+    sizes = {r.y: r["count"] for r in sampling.bounded(even, 1000).groupBy("y").count().collect()}
+    assert all(400 < n < 600 for n in sizes.values())
+    assert sampling.bounded(df, None) is df and sampling.bounded(df, 20_000) is df
+
+
+def test_statistics_come_from_all_training_rows(spark, monkeypatch):
+    seen = {"scores": [], "fits": []}
+    scores, forest = selection.anova_scores, selection._forest
+    monkeypatch.setattr(selection, "anova_scores", lambda df, f: seen["scores"].append(df.count()) or scores(df, f))
+    monkeypatch.setattr(selection, "_forest", lambda df, *a: seen["fits"].append(df.count()) or forest(df, *a[:1], 2, 1, 2))
+    config = TrainingConfig(selection="selectkbest", models=["Naive Bayes"], max_fit_rows=60, balance=False)
+    run_training(separable(spark), config)
+    assert 160 < seen["scores"][0] < 180
+    rows = separable(spark).select("*", F.monotonically_increasing_id().alias("row_id"))
+    rows, columns = datasets.prepare(rows, keep=["row_id"])
+    selection.select_best_method(rows, columns, ("selectkbest", "importance"), max_fit_rows=60)
+    assert seen["scores"][1] > 180 and len(seen["fits"]) == 3 and max(seen["fits"]) < 100
