@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import balance, evaluation, neighbours, reporting, sampling, scaling, scoring, selection, training
+from faultline.plans import catalog
 from faultline.plans.training import OFFLINE, TrainingConfig, run_training
 from faultline.session import scratch
 from faultline.sources import datasets, model_store
@@ -266,3 +267,25 @@ def test_statistics_come_from_all_training_rows(spark, monkeypatch):
     rows, columns = datasets.prepare(rows, keep=["row_id"])
     selection.select_best_method(rows, columns, ("selectkbest", "importance"), max_fit_rows=60)
     assert seen["scores"][1] > 180 and len(seen["fits"]) == 3 and max(seen["fits"]) < 100
+
+
+def test_boosted_presets_fit(spark):
+    boosted = [f"Boosted Trees {x}" for x in "ABC"]
+    few = {name: {"maxIter": 3, "maxDepth": 3} for name in boosted}
+    models = run_training(separable(spark), TrainingConfig(selection=None, settings=few, models=boosted)).models
+    assert {m.name for m in models} == {*boosted, training.ENSEMBLE}
+    assert all(m.metrics["f1"] > 0.9 for m in models)
+    assert all(m.pipeline.stages[-1].getNumTrees == 3 for m in models if m.pipeline)
+
+
+def test_queries_fit_every_preset(spark, monkeypatch):
+    fitted, fit = [], training.fit_models
+
+    def quick(train, features, names=None, *rest):
+        fitted.append(names or training.MODEL_NAMES)
+        return fit(train, features, ["Logistic Regression", "Decision Tree", "Naive Bayes"])
+
+    monkeypatch.setattr(training, "fit_models", quick)
+    for name in ("trained_models", "saved_models"):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 4
+    assert fitted == [training.MODEL_NAMES] * 2
