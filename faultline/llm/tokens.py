@@ -3,7 +3,7 @@
 The pre-tokenizers of the public vocabularies never let a token run from a character that is not
 white space into white space. A text whose words are parted by single spaces and line ends is
 therefore the concatenation of its words' ids, and words repeat. Any other text goes to the library
-as it is.
+as it is, as does one that holds an added token such as <|endoftext|>.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ class TextEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers, equal to ``encode(text)`` of the library.
 
     ``keeps_space`` tells whether the vocabulary has tokens for white space. Strings of special
-    tokens inside a text count as ordinary text. Null is the empty text.
+    tokens inside a text become those tokens, as by default. Null is the empty text.
     """
 
     def __init__(self, name: str, remembered: int = 600_000):
@@ -64,8 +64,8 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = str.maketrans(dict(enumerate(_byte_letters())))
         self.keeps_space = bool(self._whole(" "))
         self.lowers = self._whole("A") == self._whole("a")
@@ -95,7 +95,7 @@ class TextEncoder:
         if not text:
             return b""
         lines = text.split("\n")
-        if text.split() != text.replace("\n", " ").split(" "):
+        if text.split() != text.replace("\n", " ").split(" ") or any(t in text for t in self.added):
             return self._whole(text)
         out = []
         for line in lines:

@@ -6,13 +6,14 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from faultline.llm import id_files
 from faultline.llm.common import documents as read_documents
 from faultline.llm.id_files import IdReader, IdWriter, pack_block, store_ids, unpack_block
 from faultline.llm.packing import fullest, pack, plan_bins
 from faultline.llm.pieces import PieceCoder, encode_documents, occurrence_ranges, suffix_order
-from faultline.llm.tokens import TextEncoder, encoder
+from faultline.llm.tokens import TextEncoder, encoder, vocabulary
 
 ODD = [
     "", "a", "\n", "a\n", "  a b", " a", "a  b", "a\tb c", "it's a's B'LL", "x<|endoftext|>y z", "Σίσυφος ΟΔΟΣ b",
@@ -182,3 +183,14 @@ def test_capacity_of_the_query(spark):
 
 def test_block_length_is_part_of_the_format():
     assert id_files.BLOCK == 8192
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_those_of_the_library(name):
+    library, ours = Tokenizer.from_file(vocabulary(name)), TextEncoder(name, remembered=5)
+    for text in ODD + [
+        "see <|endoftext|> here", "<|endoftext|>", "a\n<|startoftext|>b", "<|ENDOFTEXT|> <|endof text|>",
+        "x  <|endoftext|>\ny z", "<|endoftext|><|endoftext|> a <|startoftext|>",
+    ]:
+        wanted = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == wanted, text
