@@ -872,8 +872,10 @@ def _labelled_dataset(spark, sf):
 def _labelled_functions(spark, sf):
     """The function-level dataset with point-in-time history metrics of the file."""
     changes = driver_tables.source_changes(spark, sf)
-    touched = changes.select(
-        "file_path", "commit_hash", "author", "commit_ts", F.lit(5).alias("added"), F.lit(1).alias("deleted")
+    counted = features.file_features(changes.withColumn("language", code_text.language_by_name("file_path")))
+    touched = counted.select(
+        "file_path", "commit_hash", "author", "commit_ts",
+        F.col("added_lines").cast("int").alias("added"), F.col("deleted_lines").cast("int").alias("deleted"),
     )
     return mining.labelled_dataset(
         changes, _labels(spark, sf), function_level=True, process_metrics=process.metrics_at_commits(touched)

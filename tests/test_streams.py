@@ -1,0 +1,36 @@
+"""Bounded streams to their end, and history metrics that follow the texts."""
+
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from faultline.plans import catalog
+from faultline.session import scratch
+from faultline.streaming import jobs
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_bounded_streams_return_their_last_days(spark):
+    rows = [(f"2024-01-{d:02d} 0{h}:00:00", f"f{h % 2}", d, h) for d in (1, 2, 9, 10, 11) for h in range(5)]
+    folder = scratch(spark, "changes")
+    table = spark.createDataFrame(rows, "commit_ts string, file_path string, added long, deleted long")
+    table = table.withColumn("commit_ts", F.col("commit_ts").cast("timestamp"))
+    table.repartition(1).write.parquet(f"{folder}/changes.parquet")
+    arriving = spark.readStream.schema(table.schema).parquet(f"{folder}/changes.parquet")
+    got = jobs.run_closed(arriving, jobs.daily_changes, "commit_ts", "closed").collect()
+    wanted = Counter()
+    for ts, f, added, deleted in rows:
+        wanted[ts[:10], f, "added"] += added
+        wanted[ts[:10], f, "deleted"] += deleted
+        wanted[ts[:10], f, "commits"] += 1
+    assert len(got) == 10
+    assert Counter({(str(r.day)[:10], r.file_path, c): r[c] for r in got for c in ("added", "deleted", "commits")}) == wanted
+    assert jobs.run_available(jobs.daily_changes(arriving), "open").count() < 10
+
+
+def test_labelled_functions_take_churn_from_the_texts(spark):
+    rows = catalog.QUERIES["labelled_functions"](spark, SF).select("file_path", "additions_30d", "deletions_30d").distinct().collect()
+    assert len({(r.additions_30d, r.deletions_30d) for r in rows}) > 2
+    added = [r for r in rows if int(r.file_path.removeprefix("src/order").split(".")[0]) % 7 == 0]
+    assert added and all(r.deletions_30d == 0 for r in added)
