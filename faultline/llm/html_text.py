@@ -34,6 +34,7 @@ CLOSES = {
 }
 SCOPE = {"table", "td", "th", "caption", "button", "object", "template", "html"}
 WIDEST = 40  # no cell is padded beyond; longer ones push the rest of their row
+FOREIGN = {"svg", "math"}  # only here a slash ends an element
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -132,7 +133,7 @@ class PageTree(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag and tag not in BLOCK | HIDDEN:
+        if tag not in VOID and self.open[-1].tag == tag and (tag in FOREIGN or tag not in BLOCK | HIDDEN):
             self._close_to(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
@@ -150,6 +151,8 @@ class PageTree(HTMLParser):
         self._text(data, False)
 
     def _text(self, data: str, line_end: bool) -> None:
+        if self.open[-1].tag == "head" and (line_end or data.strip(" \t\n\r\f")):
+            self._close_to(len(self.open) - 1)
         if self.open[-1].hidden:
             return
         block = self._block()

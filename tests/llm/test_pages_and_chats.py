@@ -45,6 +45,22 @@ def test_layout(html, text):
     assert rendered(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<body>a<svg width=1 /> b<p>c</body>", "a b\n\nc"),
+        ("<div>a<math/>b</div>c", "ab\nc"),
+        ("a<svg><svg/><title/><path d='M'/>in</svg>b", "ab"),
+        ("<html><head><title>t</title>first<p>second", "first\n\nsecond"),
+        ("<head><title>t</title> \n <style>s</style>x <b>y</b>", "x y"),
+        ("<head><meta charset=u><br>x", "x"),
+        ("<head><title>t</title></head> x", "x"),
+    ],
+)
+def test_layout_behind_foreign_elements_and_open_heads(html, text):
+    assert rendered(html) == text
+
+
 def test_deep_and_long_pages_end():
     assert rendered("<div>" * 20_000 + "x") == "x"
     assert rendered("<b>" * 20_000 + "x") == "x"
