@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from faultline.llm import byte_pairs
 from faultline.llm.common import documents, prepared
 from faultline.llm.digest_index import DigestIndex, deduplicate
 from faultline.llm.html_text import extract
@@ -107,6 +109,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(documents(spark, sf_dir))
 
 
+def byte_pair_digests(docs: DataFrame) -> DataFrame:
+    """Count and digest of every document's ids, and the digest of what they decode to."""
+    coded = byte_pairs.decoded(byte_pairs.encoded(docs))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-pair ids of every document, and back."""
+    return byte_pair_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quotation_linking": op2_quotation_linking,
@@ -118,5 +136,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
+    "op11_byte_pairs": op11_byte_pairs,
 }
 ORACLE: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "op5_exact_dedup": OP5_SQL}
