@@ -12,6 +12,7 @@ from faultline.llm.common import documents, prepared
 from faultline.llm.digest_index import DigestIndex, deduplicate
 from faultline.llm.html_text import extract
 from faultline.llm.id_files import store_ids
+from faultline.llm.infill import fill_in_middle, restored
 from faultline.llm.language import identify_documents
 from faultline.llm.packing import pack
 from faultline.llm.pieces import encode_documents
@@ -125,6 +126,42 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pair_digests(documents(spark, sf_dir))
 
 
+def infill_digests(docs: DataFrame) -> DataFrame:
+    """Every document's transformed text as a digest, and that of the text rebuilt from it."""
+    rows = fill_in_middle(docs)
+    back = restored(F.col("output"), F.col("form"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(f"{n}_sha256") for n, c in (("output", F.col("output")), ("restored", back))]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix, middle and suffix of every document in an order to learn filling in from."""
+    return infill_digests(documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+    WITH drawn AS (
+      SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    cut AS (
+      SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, len(units)::BIGINT AS n,
+             ('0x' || h[1:8])::BIGINT % (n + 1) AS one, ('0x' || h[9:16])::BIGINT % (n + 1) AS two,
+             ('0x' || h[25:32])::BIGINT % 100 AS h4
+      FROM drawn),
+    parts AS (
+      SELECT doc_id, text, n, array_to_string(units[1:least(one, two)], '') AS p,
+             array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS m,
+             array_to_string(units[greatest(one, two) + 1:], '') AS s,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                  WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form
+      FROM cut)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+                  ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM parts"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quotation_linking": op2_quotation_linking,
@@ -137,5 +174,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
     "op11_byte_pairs": op11_byte_pairs,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLE: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op13_fill_in_middle": OP13_SQL}
