@@ -14,6 +14,7 @@ from faultline.llm.html_text import extract
 from faultline.llm.id_files import store_ids
 from faultline.llm.infill import fill_in_middle, restored
 from faultline.llm.language import identify_documents
+from faultline.llm.manifest import REACH, build_manifest, folded, leaf_of, proof_digest
 from faultline.llm.packing import pack
 from faultline.llm.pieces import encode_documents
 from faultline.llm.quality import judge, learned
@@ -126,6 +127,77 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pair_digests(documents(spark, sf_dir))
 
 
+def manifest_rows(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """Every document's leaf, proof and the root that its leaf gives after texts were tampered with.
+
+    Where 2 divides the checksum of the decimal doc_id, line ends are deleted; a null doc_id has no checksum.
+    """
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    made = build_manifest(docs, reach, altered=leaf_of(text=F.coalesce(tampered, F.col("text"))))
+    root, path = F.lit(made.root).cast("string"), F.col("path")
+    rows = made.proofs().select(
+        "doc_id", "leaf", "subroot", root.alias("root"), proof_digest(path).alias("proof_sha256"),
+        folded(F.col("altered"), path).alias("folded_root"),
+    )
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and checked proof of every document."""
+    return manifest_rows(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+    WITH RECURSIVE given AS (
+      SELECT *, doc_id::VARCHAR AS id,
+             CASE WHEN list_reduce(
+                 list_concat([4294967295::BIGINT], list_transform(range(1, length(id) + 1), lambda k: ascii(id[k])::BIGINT)),
+                 lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                     lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) % 2 = 1
+               THEN replace(text, chr(10), '') ELSE text END AS tampered
+      FROM documents),
+    fields AS (
+      SELECT *, coalesce(strlen(id) || ':' || id, '-') || coalesce(strlen(source) || ':' || source, '-')
+             || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+      FROM given),
+    leaves AS (
+      SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             sha256(head || coalesce(strlen(tampered) || ':' || tampered, '-')) AS altered
+      FROM fields),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+    trees AS (
+      SELECT source, 0 AS level, list(leaf ORDER BY i) AS nodes FROM placed GROUP BY source
+      UNION ALL
+      SELECT source, level + 1, list_transform(range(0, len(nodes), 3), lambda k: sha256(array_to_string(nodes[k + 1:k + 3], '')))
+      FROM trees WHERE len(nodes) > 1),
+    climbed AS (
+      SELECT doc_id, source, leaf, 0 AS level, i, altered AS node, '' AS proof FROM placed
+      UNION ALL
+      SELECT c.doc_id, c.source, c.leaf, c.level + 1, c.i // 3,
+             sha256(array_to_string(nodes[i - i % 3 + 1:i], '') || c.node || array_to_string(nodes[i + 2:i - i % 3 + 3], '')),
+             c.proof || array_to_string(nodes[i - i % 3 + 1:i], '') || array_to_string(nodes[i + 2:i - i % 3 + 3], '')
+      FROM climbed c JOIN trees t ON t.source IS NOT DISTINCT FROM c.source AND t.level = c.level WHERE len(t.nodes) > 1),
+    subroots AS (
+      SELECT source, level, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS j
+      FROM trees WHERE len(nodes) = 1),
+    tops AS (
+      SELECT 0 AS level, list(subroot ORDER BY j) AS nodes FROM subroots HAVING count(*) > 0
+      UNION ALL
+      SELECT level + 1, list_transform(range(0, len(nodes), 3), lambda k: sha256(array_to_string(nodes[k + 1:k + 3], '')))
+      FROM tops WHERE len(nodes) > 1),
+    finished AS (
+      SELECT c.doc_id, c.leaf, s.subroot, 0 AS level, s.j AS i, c.node, c.proof
+      FROM climbed c JOIN subroots s ON s.source IS NOT DISTINCT FROM c.source AND s.level = c.level
+      UNION ALL
+      SELECT f.doc_id, f.leaf, f.subroot, f.level + 1, f.i // 3,
+             sha256(array_to_string(nodes[i - i % 3 + 1:i], '') || f.node || array_to_string(nodes[i + 2:i - i % 3 + 3], '')),
+             f.proof || array_to_string(nodes[i - i % 3 + 1:i], '') || array_to_string(nodes[i + 2:i - i % 3 + 3], '')
+      FROM finished f JOIN tops t ON t.level = f.level WHERE len(t.nodes) > 1)
+    SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = nodes[1] AS verified
+    FROM finished f JOIN tops t ON t.level = f.level WHERE len(t.nodes) = 1"""
+
+
 def infill_digests(docs: DataFrame) -> DataFrame:
     """Every document's transformed text as a digest, and that of the text rebuilt from it."""
     rows = fill_in_middle(docs)
@@ -174,6 +246,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
     "op11_byte_pairs": op11_byte_pairs,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op13_fill_in_middle": OP13_SQL}
+ORACLE: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op12_merkle_manifest": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
