@@ -77,7 +77,8 @@ def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document stays for each text, against an index that starts empty."""
-    return deduplicate(documents(spark, sf_dir), DigestIndex(spark))
+    with DigestIndex(spark) as index:
+        return deduplicate(documents(spark, sf_dir), index)
 
 
 OP5_SQL = """

@@ -31,6 +31,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def text_of(column: str = "text") -> Column:
     """The text, or the empty text for null."""
     return F.coalesce(F.col(column), F.lit(""))

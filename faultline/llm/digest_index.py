@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.common import LEAST_ID, join_groups, text_of
+from faultline.llm.common import LEAST_ID, columns_of, join_groups, text_of
 from faultline.session import materialize, scratch
 
 
@@ -19,40 +20,83 @@ class DigestIndex:
     """A table of known digests, bucketed and sorted by digest in a shared folder.
 
     New digests are shuffled into the same buckets, so looking them up is a sort-merge anti-join
-    that moves nothing of the index, and appending them writes one file a bucket.
+    that moves nothing of the index, and appending them writes one file a bucket. The number of
+    buckets is fixed when the folder is first used and is kept beside the files; opening the folder
+    again, in any session, registers the files that lie there and writes nothing. The catalog's
+    entry is named after the folder and can go at any time (``close``). One job appends at a time.
     """
 
-    def __init__(self, spark: SparkSession, table: str | None = None, path: str | None = None, buckets: int | None = None):
-        self.spark = spark
-        self.table = table or f"digests_{uuid.uuid4().hex}"
-        self.path = path or scratch(spark, "digest-index")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if not spark.catalog.tableExists(self.table):
-            self._write(spark.createDataFrame([], "digest string, doc_id long, batch string"))
+    SCHEMA = "digest string, doc_id long, batch string"
+    LAYOUT = "version int, buckets int"
+    VERSION = 1
 
-    def _write(self, rows: DataFrame) -> None:
-        writer = rows.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append")
-        writer.option("path", self.path).saveAsTable(self.table)
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark = spark
+        self.path = (path or scratch(spark, "digest-index")).rstrip("/")
+        self.files = f"{self.path}/digests"
+        self.table = f"digests_{hashlib.sha256(self.path.encode()).hexdigest()[:24]}"
+        self.buckets = self._layout(buckets)
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.table} ({self.SCHEMA}) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.files}'"
+        )
+        spark.catalog.refreshTable(self.table)
+
+    def _layout(self, buckets: int | None) -> int:
+        """The number of buckets the folder has; a folder that is not there gets one."""
+        reader = self.spark.read.schema(self.LAYOUT)
+        if not self._exists(self.path):
+            buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            row = self.spark.createDataFrame([(self.VERSION, buckets)], self.LAYOUT)
+            row.coalesce(1).write.json(f"{self.path}/layout")
+            return buckets
+        found = reader.json(f"{self.path}/layout").take(2) if self._exists(f"{self.path}/layout/_SUCCESS") else []
+        if len(found) != 1 or found[0]["version"] != self.VERSION or not found[0]["buckets"]:
+            raise ValueError(f"{self.path} is no digest index of layout {self.VERSION}")
+        if buckets and buckets != found[0]["buckets"]:
+            raise ValueError(f"{self.path} has {found[0]['buckets']} buckets, not {buckets}")
+        return found[0]["buckets"]
+
+    def _exists(self, path: str) -> bool:
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
+    def close(self) -> None:
+        """Take the index out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def known(self) -> DataFrame:
         """digest of every text that was kept so far, with its doc_id and the batch that brought it."""
         return self.spark.table(self.table)
 
+    def unknown(self, groups: DataFrame) -> DataFrame:
+        """The rows of ``groups`` (digest, ...) whose digest the index does not have."""
+        return groups.hint("merge").join(self.known().select("digest"), "digest", "left_anti")
+
     def add(self, groups: DataFrame, batch: str) -> None:
         """Append the digests that are new, with the doc_id in ``keep_id``."""
-        new = groups.hint("merge").join(self.known().select("digest"), "digest", "left_anti")
-        new = new.select("digest", F.col("keep_id").cast("long").alias("doc_id"), F.lit(batch).alias("batch"))
+        new = self.unknown(groups).select("digest", F.col("keep_id").cast("long").alias("doc_id"), F.lit(batch).alias("batch"))
         new = materialize(new, "digests-new")  # the index is not read while it is written
-        self._write(new.repartition(self.buckets, "digest"))
+        new.repartition(self.buckets, "digest").write.insertInto(self.table)
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """One row per row of ``docs``: which document stays for its text; new texts enter the index.
 
-    Texts are equal when identical; null counts as empty. A text the index knows is represented by
-    the indexed document and none of its rows is kept. Otherwise the row with the largest doc_id
-    stays (null is smaller than any; of rows that repeat this doc_id, exactly one). An empty table
-    gives no rows and changes nothing. Other columns are not read.
+    Texts are equal when identical; null counts as empty. A text that another batch brought into the
+    index is represented by the indexed document and none of its rows is kept. Otherwise the row
+    with the largest doc_id stays (null is smaller than any; of rows that repeat this doc_id,
+    exactly one). An empty table gives no rows and changes nothing. Other columns are not read.
+
+    ``batch`` names the batch. A job that failed after texts had entered the index runs again under
+    the same name and gives the same rows; without a name every call is a batch of its own.
 
     Texts never move: each becomes a digest where it is read. Counting combines before the shuffle,
     and the way back to the rows treats hot digests apart.
@@ -66,7 +110,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
         F.count(F.lit(1)).alias("group_size"),
     )
     groups = materialize(groups, "digest-groups")
-    batch = uuid.uuid4().hex
+    batch = batch or uuid.uuid4().hex
     index.add(groups, batch)
     known = index.known().withColumnsRenamed({"doc_id": "keep_id", "batch": "_batch"})
     groups = groups.drop("keep_id").hint("merge").join(known, "digest")
@@ -89,4 +133,4 @@ def matching_rows(docs: DataFrame, chosen: DataFrame, mark: Column) -> DataFrame
     marked = docs.withColumn("_fl_mark", mark).withColumn("_fl_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)))
     wanted = chosen.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("_fl_id"), F.col("mark").alias("_fl_mark"))
     kept = marked.join(wanted.distinct(), ["_fl_id", "_fl_mark"], "left_semi")
-    return kept.dropDuplicates(["_fl_id", "_fl_mark"]).select(*docs.columns)
+    return kept.dropDuplicates(["_fl_id", "_fl_mark"]).select(*columns_of(docs))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import language
-from faultline.llm.common import LEAST_ID, prepared, text_of
+from faultline.llm.common import LEAST_ID, columns_of, prepared, text_of
 from faultline.llm.digest_index import DigestIndex, deduplicate, digest_of, matching_rows
 from faultline.llm.packing import pack
 from faultline.llm.quality import STATS, base_failed, features, first_match, learned, with_statistics
@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass the base rules and meet no learned rule."""
     prepared(spark)
     rules = learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = with_statistics(docs, *docs.columns)
+    judged = with_statistics(docs, *columns_of(docs))
     return judged.filter(~base_failed() & (first_match(rules, features()) == 0)).drop(STATS)
 
 
@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prototypes = language.learn(docs)
     if not prototypes:
         return docs
-    rows = docs.select(F.struct(*docs.columns).alias("_fl_row"), "text")
+    rows = docs.select(F.struct(*columns_of(docs)).alias("_fl_row"), "text")
     judged = language.identify(rows, prototypes, "_fl_row")
     known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     return judged.filter(known).select("_fl_row.*")
@@ -43,7 +43,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document for each text, the one with the largest doc_id."""
     prepared(spark)
-    kept = deduplicate(docs, DigestIndex(spark)).filter("kept")
+    with DigestIndex(spark) as index:
+        kept = deduplicate(docs, index).filter("kept")
     chosen = kept.select("doc_id", F.col("text_sha256").alias("mark"))
     return matching_rows(docs, chosen, digest_of(F.col("text")))
 
