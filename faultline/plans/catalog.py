@@ -193,7 +193,7 @@ def _issues_flattened(spark, sf):
         ORDER BY created DESC, key LIMIT 50""",
 )
 def _issue_search(spark, sf):
-    return issues.search_issues(_issues(spark, sf), "PART", "Bug", "Closed").select("key", "created")
+    return issues.search_issues(_issues(spark, sf), "PART", "Bug", "Closed", max_results=50).select("key", "created")
 
 
 EVENT_KEYS = f"""
@@ -1535,8 +1535,7 @@ def _stream_bug_fix_flags(spark, sf):
 DAILY = """
     SELECT date_trunc('day', ts) AS day, 'src/user' || user_id AS file_path, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS added,
            CAST(sum(event_id % 7) AS BIGINT) AS deleted, count(*) AS commits
-    FROM events GROUP BY 1, 2
-    HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAYS"""
+    FROM events GROUP BY 1, 2"""
 
 
 def _event_changes(events):
@@ -1548,13 +1547,18 @@ def _event_changes(events):
     )
 
 
+def _closed_days(spark, sf):
+    """Changes by file and day of all events, the last days too: the given input has an end."""
+    arriving = _event_changes(jobs.read_table_stream(spark, sf, "events"))
+    return jobs.run_closed(arriving, jobs.daily_changes, "commit_ts", "daily")
+
+
 @query(
     "stream_daily_changes",
     f"SELECT strftime(day, '%Y-%m-%d') AS day, file_path, added, deleted, commits FROM ({DAILY})",
 )
 def _stream_daily_changes(spark, sf):
-    daily = jobs.daily_changes(_event_changes(jobs.read_table_stream(spark, sf, "events")))
-    return jobs.run_available(daily, "daily").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return _closed_days(spark, sf).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(
@@ -1564,10 +1568,7 @@ def _stream_daily_changes(spark, sf):
         FROM ({DAILY}) WINDOW w AS (PARTITION BY file_path ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW)""",
 )
 def _stream_trailing_churn(spark, sf):
-    daily = jobs.run_available(
-        jobs.daily_changes(_event_changes(jobs.read_table_stream(spark, sf, "events"))), "daily"
-    )
-    trailing = jobs.trailing_churn(daily).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    trailing = jobs.trailing_churn(_closed_days(spark, sf)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
     return rounded(trailing, "commit_frequency")
 
 

@@ -13,6 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows that wide ones are made of, dealt out by ``key``.
+
+    A file with one row group is one task; what is made of its rows (texts, parsing, many rows each)
+    would all run there. Dealing out the narrow columns is one cheap shuffle at any size. The number
+    of parts is given, as adaptive execution joins parts by their narrow size. Rows that already
+    hold whole texts are not dealt out: large tables of them have many splits.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def order_hash(column: str):
     return F.sha1(F.col(column).cast("string").cast("binary"))
 
@@ -53,6 +64,7 @@ def with_parents(commits: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) ->
 def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as changed files of their order."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount")
+    lines = spread(lines, "l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         order_hash("l_orderkey").alias("commit_hash"),
@@ -67,7 +79,8 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape_events(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    return shape_events(spread(events, "event_id"))
 
 
 def shape_events(events: DataFrame) -> DataFrame:
@@ -219,7 +232,7 @@ def source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = "(1 + o_orderkey % 4)"
     extension = "element_at(array('.py', '.java', '.js'), cast(o_orderkey % 3 + 1 as int))"
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
-    commits = shape_orders(table(spark, sf_dir, "orders").select(*columns))
+    commits = shape_orders(spread(table(spark, sf_dir, "orders").select(*columns), "o_orderkey"))
     return commits.select(
         "o_orderkey",
         "commit_hash",
@@ -244,7 +257,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"
     )
-    base = lines.select(
+    base = spread(lines, "l_orderkey").select(
         F.concat(F.lit("order"), F.col("l_orderkey")).alias("filename"),
         F.concat(F.lit("item_"), F.col("l_linenumber")).alias("function_name"),
         (F.col("l_partkey") % 100 + 1).alias("function_start_line"),
