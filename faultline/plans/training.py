@@ -38,7 +38,7 @@ class TrainingConfig:
     # Statistics that select features and rows that judge them are never bounded
     max_fit_rows: int | None = None
     leakage_check: bool = False
-    parallelism: int = 1
+    parallelism: int = training.PARALLELISM
     save_to: str | None = None
     save_top: int | None = None
 
