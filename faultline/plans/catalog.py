@@ -1353,11 +1353,15 @@ def _rebalanced_rows(spark, sf):
 
 
 def _trained(spark, sf):
+    """All presets and the ensemble; the first query over a table trains them, the others load them."""
     rows, columns = datasets.prepare(_document_rows(spark, sf), keep=["row_id"])
-    split = materialize(sampling.stratified_split(materialize(rows, "learning"), "y", "row_id"), "split")
-    return training.train_and_measure(
-        split.filter(~F.col("is_test")), split.filter("is_test"), columns,
-    )
+    rows = materialize(rows, "learning")
+
+    def train():
+        split = materialize(sampling.stratified_split(rows, "y", "row_id"), "split")
+        return training.train_and_measure(split.filter(~F.col("is_test")), split.filter("is_test"), columns)
+
+    return model_store.trained_once(rows, "documents", train)
 
 
 @query("trained_models")

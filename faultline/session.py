@@ -59,11 +59,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local session without the
-    setting falls back to a temporary folder of this machine.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session without the setting falls
+    back to a temporary folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -73,7 +73,18 @@ def scratch(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return os.path.join(base, f"faultline-{name}-{uuid.uuid4().hex}")
+    return base
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared checkpoint folder."""
+    return os.path.join(shared_folder(spark), f"faultline-{name}-{uuid.uuid4().hex}")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file systems have the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def materialize(df, name: str):

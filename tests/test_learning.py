@@ -289,3 +289,20 @@ def test_queries_fit_every_preset(spark, monkeypatch):
     for name in ("trained_models", "saved_models"):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 4
     assert fitted == [training.MODEL_NAMES] * 2
+
+
+def test_models_of_the_same_rows_are_trained_once(spark):
+    df = separable(spark).withColumn("y", (F.col("label") == "BUGGY").cast("int")) if "y" not in separable(spark).columns else separable(spark)
+    calls, features = [], [c for c, t in df.dtypes if t == "double"][:2]
+
+    def train():
+        calls.append(1)
+        models = training.fit_models(df, features, ["Naive Bayes"])
+        return training.measure(df, models)
+
+    name = f"test{random.random()}".replace(".", "")
+    first = model_store.trained_once(df, name, train)
+    again = model_store.trained_once(df.repartition(5), name, train)
+    assert len(calls) == 1 and [m.name for m in again] == [m.name for m in first] == ["Naive Bayes"]
+    model_store.trained_once(df.limit(5), name, lambda: train())
+    assert len(calls) == 2

@@ -103,3 +103,12 @@ def test_issue_search(spark):
     assert [r.key for r in issues.search_issues(df, project="A").collect()] == ["A-2", "A-1"]
     assert [r.key for r in issues.search_issues(df, max_results=1).collect()] == ["B-1"]
     assert issues.search_issues(df).count() == 3
+
+
+def test_search_returns_all_or_as_many_as_asked_for(spark):
+    rows = [(f"P-{k}", "Bug", "Closed" if k % 2 else "Open", f"{k:04d}") for k in range(140)]
+    df = spark.createDataFrame(rows, "key string, issue_type string, status string, created string")
+    assert issues.search_issues(df, "P", "Bug", "Closed").count() == 70
+    newest = issues.search_issues(df, "P", "Bug", "Closed", max_results=50).collect()
+    assert [r.key for r in newest] == [f"P-{k}" for k in range(139, 39, -2)]
+    assert issues.search_issues(df, "Q").count() == 0
