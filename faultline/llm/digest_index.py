@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.common import LEAST_ID, columns_of, join_groups, text_of
-from faultline.session import materialize, scratch
+from faultline.session import materialize, path_exists, scratch
 
 
 def digest_of(text: Column) -> Column:
@@ -45,23 +45,18 @@ class DigestIndex:
     def _layout(self, buckets: int | None) -> int:
         """The number of buckets the folder has; a folder that is not there gets one."""
         reader = self.spark.read.schema(self.LAYOUT)
-        if not self._exists(self.path):
+        if not path_exists(self.spark, self.path):
             buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             row = self.spark.createDataFrame([(self.VERSION, buckets)], self.LAYOUT)
             row.coalesce(1).write.json(f"{self.path}/layout")
             return buckets
-        found = reader.json(f"{self.path}/layout").take(2) if self._exists(f"{self.path}/layout/_SUCCESS") else []
+        found = reader.json(f"{self.path}/layout").take(2) if path_exists(self.spark, f"{self.path}/layout/_SUCCESS") else []
         if len(found) != 1 or found[0]["version"] != self.VERSION or not found[0]["buckets"]:
             raise ValueError(f"{self.path} is no digest index of layout {self.VERSION}")
         if buckets and buckets != found[0]["buckets"]:
             raise ValueError(f"{self.path} has {found[0]['buckets']} buckets, not {buckets}")
         return found[0]["buckets"]
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
-
     def close(self) -> None:
         """Take the index out of the catalog; its files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
