@@ -1296,18 +1296,17 @@ def _embeddings(spark, sf):
     )
 
 
+# Every pair once a query: the vectors are made once, and no list of all pairs is kept.
 EMBEDDED = """
-    SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN label % 3 = 0 THEN 1 ELSE 0 END AS y, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"""
-NEAREST = f"""
-    SELECT vec, y, neighbour, ny, d, rank FROM (
-      SELECT a.id AS vec, a.y, b.id AS neighbour, b.y AS ny, list_distance(a.e, b.e) AS d,
-             row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.e, b.e), b.id) AS rank
-      FROM ({EMBEDDED}) a JOIN ({EMBEDDED}) b ON a.id <> b.id)"""
+    SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN label % 3 = 0 THEN 1 ELSE 0 END AS y, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings"""
 
 
 @query(
     "nearest_neighbours",
-    f"SELECT vec, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 5) AS distance FROM ({NEAREST}) WHERE rank <= 5",
+    f"""WITH e AS MATERIALIZED ({EMBEDDED}),
+        n AS (SELECT a.id AS vec, min({{'d': array_distance(a.e, b.e), 'id': b.id}}, 5) AS near FROM e a JOIN e b ON a.id <> b.id GROUP BY a.id)
+        SELECT vec, CAST(rank AS INTEGER) AS rank, near[rank].id AS neighbour, round(near[rank].d, 5) AS distance
+        FROM n, range(1, 6) r(rank) WHERE rank <= len(near)""",
 )
 def _nearest_neighbours(spark, sf):
     names = [f"e{i}" for i in range(64)]
@@ -1318,7 +1317,10 @@ def _nearest_neighbours(spark, sf):
 
 @query(
     "tomek_links",
-    f"""WITH n AS (SELECT * FROM ({NEAREST}) WHERE rank = 1)
+    f"""WITH e AS MATERIALIZED ({EMBEDDED}),
+        n AS MATERIALIZED (
+          SELECT a.id AS vec, any_value(a.y) AS y, min({{'d': array_distance(a.e, b.e), 'id': b.id}}).id AS neighbour
+          FROM e a JOIN e b ON a.id <> b.id GROUP BY a.id)
         SELECT a.vec AS id, a.neighbour AS partner FROM n a JOIN n b ON a.neighbour = b.vec AND b.neighbour = a.vec
         WHERE a.y <> b.y AND a.vec < a.neighbour""",
 )
