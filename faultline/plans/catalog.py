@@ -1553,10 +1553,10 @@ def _event_changes(events):
     )
 
 
-def _closed_days(spark, sf):
-    """Changes by file and day of all events, the last days too: the given input has an end."""
+def _closed_stream(spark, sf, aggregate, name):
+    """What ``aggregate`` makes of the events as a stream, the last days too: the given input has an end."""
     arriving = _event_changes(jobs.read_table_stream(spark, sf, "events"))
-    return jobs.run_closed(arriving, jobs.daily_changes, "commit_ts", "daily")
+    return jobs.run_closed(arriving, aggregate, "commit_ts", name).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(
@@ -1564,7 +1564,7 @@ def _closed_days(spark, sf):
     f"SELECT strftime(day, '%Y-%m-%d') AS day, file_path, added, deleted, commits FROM ({DAILY})",
 )
 def _stream_daily_changes(spark, sf):
-    return _closed_days(spark, sf).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return _closed_stream(spark, sf, jobs.daily_changes, "daily")
 
 
 @query(
@@ -1574,8 +1574,7 @@ def _stream_daily_changes(spark, sf):
         FROM ({DAILY}) WINDOW w AS (PARTITION BY file_path ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW)""",
 )
 def _stream_trailing_churn(spark, sf):
-    trailing = jobs.trailing_churn(_closed_days(spark, sf)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
-    return rounded(trailing, "commit_frequency")
+    return rounded(_closed_stream(spark, sf, jobs.trailing_churn, "trailing"), "commit_frequency")
 
 
 @query("stream_scores")

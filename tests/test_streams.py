@@ -1,5 +1,7 @@
 """Bounded streams to their end, and history metrics that follow the texts."""
 
+import datetime
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -34,3 +36,56 @@ def test_labelled_functions_take_churn_from_the_texts(spark):
     assert len({(r.additions_30d, r.deletions_30d) for r in rows}) > 2
     added = [r for r in rows if int(r.file_path.removeprefix("src/order").split(".")[0]) % 7 == 0]
     assert added and all(r.deletions_30d == 0 for r in added)
+
+
+def _trailing(rows, days=30):
+    """(file, day, churn, commits) of every active day by looking at all rows."""
+    out = []
+    day_of = lambda ts: datetime.date.fromisoformat(ts[:10])
+    for f, day in {(r[1], day_of(r[0])) for r in rows}:
+        reach = [r for r in rows if r[1] == f and 0 <= (day - day_of(r[0])).days < days]
+        out.append((f, str(day), sum((r[2] or 0) + (r[3] or 0) for r in reach), len(reach)))
+    return sorted(out, key=repr)
+
+
+def _changes(spark, rows):
+    table = spark.createDataFrame(rows, "commit_ts string, file_path string, added long, deleted long")
+    return table.withColumn("commit_ts", F.col("commit_ts").cast("timestamp"))
+
+
+def _got(df):
+    return sorted(((r.file_path, str(r.day)[:10], r.churn, r.commit_count) for r in df.collect()), key=repr)
+
+
+def test_trailing_windows_are_those_of_brute_force(spark):
+    rng = random.Random(3)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [
+        ((start + datetime.timedelta(hours=rng.randrange(24 * 90))).isoformat(" "), rng.choice(["a", "b", None]), rng.choice([1, 5, None]), rng.randrange(9))
+        for _ in range(300)
+    ]
+    rows += [("2024-02-03 10:00:00", "hot", 1, 1)] * 500
+    folder = scratch(spark, "changes")
+    _changes(spark, rows).repartition(4).write.parquet(folder)
+    arriving = spark.readStream.schema(_changes(spark, rows[:1]).schema).parquet(folder)
+    got = _got(jobs.run_closed(arriving, jobs.trailing_churn, "commit_ts", "trailing"))
+    assert got == _trailing(rows)
+    assert next(r for r in got if r[0] == "hot") == ("hot", "2024-02-03", 1000, 500)
+
+
+def test_trailing_windows_go_on_from_the_checkpoint(spark):
+    def on(day, f, n):
+        return (f"2024-03-{day:02d} 12:00:00", f, n, 0)
+
+    batches = [[on(1, "a", 1), on(2, "a", 2), on(2, "b", 7)], [on(9, "a", 4), on(9, "c", 1)], [on(20, "b", 3), on(1, "a", 99)], [on(28, "a", 5)]]
+    folder, out = scratch(spark, "changes"), scratch(spark, "trailing")
+    schema = _changes(spark, batches[0]).schema
+    seen = []
+    for batch in batches:  # every batch is a query of its own that starts where the last one ended
+        _changes(spark, batch).repartition(1).write.mode("append").parquet(folder)
+        stream = jobs.trailing_churn(spark.readStream.schema(schema).parquet(folder), days=10)
+        seen.append(_got(jobs.run_available(stream, "trailing", out=out)))
+    rows = [r for batch in batches for r in batch if r[2] != 99]  # comes after its day was emitted
+    whole = _trailing(rows, 10)
+    assert seen[0] == [] and [r[:2] for r in seen[1]] == [("a", "2024-03-01"), ("a", "2024-03-02"), ("b", "2024-03-02")]
+    assert seen[3] == [r for r in whole if r[1] < "2024-03-26"] and len(seen[3]) == 6
