@@ -1528,6 +1528,44 @@ def _decoded_files(spark, sf):
     return files.decode_files(raw).select("filename", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
 
 
+FOREST = """
+    SELECT o_orderkey AS k, CASE WHEN o_orderkey % 500 = 0 THEN NULL
+             WHEN o_orderkey % 5 = 0 THEN o_orderkey - 1 - (o_orderkey // 5) % 4 ELSE o_orderkey - 1 END AS parent FROM orders"""
+
+
+def _forest(spark, sf):
+    """Orders as commits of a history with branches: every fifth starts from a commit some places back."""
+    k = F.col("o_orderkey")
+    back = F.when(k % 5 == 0, k - 1 - F.floor(k / 5) % 4).otherwise(k - 1)
+    orders = driver_tables.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return orders.select(
+        k.cast("string").alias("commit_hash"),
+        F.when(k % 500 != 0, back.cast("string")).alias("parent_hash"),
+        F.col("o_orderdate").cast("timestamp").alias("commit_ts"),
+    )
+
+
+@query(
+    "versions_at_parents",
+    f"""WITH RECURSIVE forest AS ({FOREST}),
+        held AS (SELECT DISTINCT l_orderkey AS k, 'src/part' || (l_partkey % 50) || '.py' AS f FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+        back AS (
+          SELECT h.k, h.f, p.parent AS at FROM held h JOIN forest p USING (k) JOIN forest q ON q.k = p.parent
+          UNION ALL
+          SELECT b.k, b.f, p.parent FROM back b JOIN forest p ON p.k = b.at JOIN forest q ON q.k = p.parent
+          LEFT JOIN held v ON v.k = b.at AND v.f = b.f WHERE v.k IS NULL)
+        SELECT b.k::VARCHAR AS commit_hash, b.f AS file_path, b.at::VARCHAR AS before_hash
+        FROM back b JOIN held v ON v.k = b.at AND v.f = b.f""",
+)
+def _versions_at_parents(spark, sf):
+    lines = driver_tables.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("commit_hash"),
+        F.concat(F.lit("src/part"), F.col("l_partkey") % 50, F.lit(".py")).alias("file_path"),
+    )
+    commits = _forest(spark, sf)
+    return history.versions_at_parents(lines, commits, lines)
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 

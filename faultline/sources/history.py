@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.messages import parse_timestamp
+from faultline.operators.ancestry import nearest_versions, walk
 from faultline.operators.spread import ROWS_PER_BUCKET, previous_row, running_sum
 from faultline.session import materialize
 
@@ -203,6 +204,31 @@ def versions_before(
     return counted.filter("_is = 0").join(numbers, ["file_path", "_n"]).select("commit_hash", "file_path", "before_hash")
 
 
+def versions_at_parents(
+    changes: DataFrame, commits: DataFrame, file_versions: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """(commit_hash, file_path, before_hash): each changed file's version at the first parent or its nearest ancestor.
+
+    Versions of other branches do not count; a merge is expected to carry the files it changed against
+    its first parent. A parent that was not exported has no known ancestors, so there, and only
+    there, the newest version before the commit by time stands in.
+    """
+    parents = commits.select("commit_hash", "parent_hash").filter("parent_hash IS NOT NULL").dropDuplicates(["commit_hash"])
+    probes = changes.select("commit_hash", "file_path").distinct().join(parents, "commit_hash")
+    probes = materialize(probes, "parents-asked")
+    exported = commits.select(F.col("commit_hash").alias("parent_hash")).distinct()
+    wanted = probes.join(exported, "parent_hash", "left_semi")
+    found = nearest_versions(
+        wanted.select("file_path", F.col("parent_hash").alias("at_commit")), file_versions, walk(commits, rows_per_bucket), rows_per_bucket
+    )
+    found = found.withColumnsRenamed({"at_commit": "parent_hash", "version_hash": "before_hash"})
+    inside = wanted.join(found, ["file_path", "parent_hash"]).select("commit_hash", "file_path", "before_hash")
+    outside = probes.join(exported, "parent_hash", "left_anti")
+    if outside.isEmpty():
+        return inside
+    return inside.unionByName(versions_before(outside, commits, file_versions, rows_per_bucket))
+
+
 def consecutive_pairs(
     versions: DataFrame,
     file: str,
