@@ -166,3 +166,56 @@ def previous_row(
     )
 
 
+def nearby_rows(
+    df: DataFrame, keys: list[str], order: str, values: list[str], count: int, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Per key, arrays ``before`` (nearest last) and ``after`` (nearest first) of up to ``count`` rows each.
+
+    Entries are structs of ``values``; ``order`` is unique per key. A bucket of a huge key takes a halo of
+    ``count`` rows from the buckets on both sides: every bucket that occurs has a row, so ``count`` buckets
+    on a side hold enough.
+    """
+    payload = F.struct(*values)
+
+    def within(partition: list[str]) -> list[Column]:
+        window = Window.partitionBy(*partition).orderBy(order)
+        return [
+            F.collect_list(payload).over(window.rowsBetween(-count, -1)).alias("before"),
+            F.collect_list(payload).over(window.rowsBetween(1, count)).alias("after"),
+        ]
+
+    cuts = hot_key_cuts(df, keys, order, rows_per_bucket)
+    if cuts is None:
+        return df.select("*", *within(keys))
+    bucketed = with_buckets(df, order, keys, cuts)
+    inside = Window.partitionBy(*keys, "_bucket")
+    edges = (
+        bucketed.filter("_hot")
+        .select(
+            *keys, "_bucket", F.struct(F.col(order).alias("_o"), payload.alias("_v")).alias("_e"),
+            F.row_number().over(inside.orderBy(order)).alias("_first"),
+            F.row_number().over(inside.orderBy(F.desc(order))).alias("_last"),
+        )
+        .filter((F.col("_first") <= count) | (F.col("_last") <= count))
+        .groupBy(*keys, "_bucket")
+        .agg(
+            F.array_sort(F.collect_list(F.when(F.col("_last") <= count, F.col("_e")))).alias("_ends"),
+            F.array_sort(F.collect_list(F.when(F.col("_first") <= count, F.col("_e")))).alias("_begins"),
+        )
+    )
+    sides = Window.partitionBy(*keys).orderBy("_bucket")
+    halo = edges.select(
+        *keys,
+        "_bucket",
+        F.flatten(F.collect_list("_ends").over(sides.rowsBetween(-count, -1)))["_v"].alias("_halo_before"),
+        F.flatten(F.collect_list("_begins").over(sides.rowsBetween(1, count)))["_v"].alias("_halo_after"),
+    )
+    joined = _null_safe_join(bucketed.select("*", *within([*keys, "_bucket"])), F.broadcast(halo), [*keys, "_bucket"], "left")
+    earlier = F.when(F.col("_hot"), F.concat("_halo_before", "before")).otherwise(F.col("before"))
+    later = F.when(F.col("_hot"), F.concat("after", "_halo_after")).otherwise(F.col("after"))
+    return (
+        joined.withColumns({"before": earlier, "after": later})
+        .withColumn("before", F.slice("before", F.greatest(F.size("before") - count, F.lit(0)) + 1, count))
+        .withColumn("after", F.slice("after", 1, count))
+        .drop("_hot", "_bucket", "_halo_before", "_halo_after")
+    )

@@ -20,6 +20,7 @@ from faultline.operators import (
     balance,
     evaluation,
     features,
+    line_origins,
     neighbours,
     process,
     reporting,
@@ -30,6 +31,7 @@ from faultline.operators import (
     szz,
     training,
 )
+from faultline.operators.spread import previous_row
 from faultline.plans import mining
 from faultline.plans import scoring as scoring_plan
 from faultline.plans.training import TrainingConfig, run_training
@@ -625,6 +627,28 @@ def _inducing_lines_from_blame(spark, sf):
     return szz.inducing_lines(fixes, lines, blame.drop("commit_hash"))
 
 
+@query(
+    "line_origins",
+    """WITH v AS (SELECT doc_id, coalesce(source, '') AS f, text, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS n FROM documents),
+       l AS (
+         SELECT DISTINCT f, doc_id, n, line FROM (SELECT f, doc_id, n, unnest(string_split(text, chr(10))) AS line FROM v) WHERE line <> ''),
+       p AS (
+         SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS line_no,
+                n - row_number() OVER (PARTITION BY f, line ORDER BY n) AS island FROM l)
+       SELECT f AS file_path, CAST(doc_id AS VARCHAR) AS at_commit, CAST(line_no AS INTEGER) AS line_no,
+              CAST(first_value(doc_id) OVER w AS VARCHAR) AS origin_hash, CAST(first_value(line_no) OVER w AS INTEGER) AS origin_line
+       FROM p WINDOW w AS (PARTITION BY f, line, island ORDER BY n)""",
+)
+def _line_origins(spark, sf):
+    """The document that brought each line, with the documents of a source as versions of one file."""
+    versions = driver_tables.line_versions(spark, sf)
+    named = F.col("doc_id").cast("string").alias("commit_hash")
+    linked = previous_row(versions.select("file_path", "doc_id"), ["file_path"], "doc_id", ["doc_id"])
+    before = linked.select("file_path", named, F.col("prev.doc_id").cast("string").alias("before_hash"))
+    runs = line_origins.version_runs(versions.select("file_path", named, "content"), before.filter("before_hash IS NOT NULL"))
+    return line_origins.origins(runs)
+
+
 @query(
     "inducing_commits",
     f"""WITH {TRACED}, ordered AS (
@@ -868,6 +892,45 @@ def _labelled_dataset(spark, sf):
     return rounded(mining.labelled_dataset(driver_tables.source_changes(spark, sf), _labels(spark, sf)), "complexity")
 
 
+@query(
+    "mined_dataset",
+    f"""WITH {TRACED.strip()}, numbered AS (
+          SELECT *, row_number() OVER (PARTITION BY author ORDER BY commit_ts, commit_hash) AS v, 8 + o_orderkey % 5 AS n,
+                 subject || chr(10) || chr(10) || 'Priority ' || o_orderpriority AS message FROM commits),
+        assigned AS (
+          SELECT author, commit_hash, v, s, o_orderkey // s % 3 AS x FROM (SELECT *, unnest(range(1, n + 1)) AS s FROM numbered)),
+        islands AS (SELECT *, v - row_number() OVER (PARTITION BY author, s, x ORDER BY v) AS island FROM assigned),
+        lives AS (
+          SELECT author, min(v) AS first_v, max(v) AS last_v, arg_min(commit_hash, v) AS origin, arg_max(commit_hash, v) AS last_hash
+          FROM islands GROUP BY author, s, x, island),
+        brought AS (
+          SELECT DISTINCT origin FROM lives JOIN numbered ON numbered.author = lives.author AND v = last_v + 1
+          WHERE is_bug_fix AND origin <> last_hash),
+        came AS (SELECT author, first_v AS v, count(*) AS n FROM lives GROUP BY 1, 2),
+        went AS (SELECT author, last_v + 1 AS v, count(*) AS n FROM lives GROUP BY 1, 2),
+        features AS (
+          SELECT c.*, CAST(coalesce(came.n, 0) AS DOUBLE) AS added_lines, CAST(coalesce(went.n, 0) AS DOUBLE) AS deleted_lines,
+                 CAST(c.n AS DOUBLE) AS nloc, 0.0::DOUBLE AS complexity, CAST(2 * c.n AS DOUBLE) AS token_count,
+                 CAST(length(message) AS DOUBLE) AS commit_msg_length,
+                 CAST(len(regexp_extract_all(message, '[^ \n]+')) AS DOUBLE) AS commit_msg_word_count,
+                 CAST(length(replace(message, ' ', '')) AS DOUBLE) AS commit_msg_char_count,
+                 0.0::DOUBLE AS sync_constructs_count, 0.0::DOUBLE AS max_loop_nesting_depth, 0.0::DOUBLE AS nested_loops_count
+          FROM numbered c LEFT JOIN came ON came.author = c.author AND came.v = c.v
+          LEFT JOIN went ON went.author = c.author AND went.v = c.v)
+        SELECT 'src/' || author || '.py' AS file_path, '' AS function_name, 0 AS function_start_line, 0 AS function_end_line,
+               false AS is_method, '' AS class_name, commit_hash, message AS commit_message, author,
+               strftime(commit_ts, {ISO}) AS date, {FEATURE_LIST},
+               CASE WHEN commit_hash IN (SELECT origin FROM brought) THEN 'BUGGY' ELSE 'CLEAN' END AS label
+        FROM features""",
+)
+def _mined_dataset(spark, sf):
+    """From commits and file versions alone to the labelled dataset: fixes are traced through the texts."""
+    commits = driver_tables.with_parents(driver_tables.order_commits(spark, sf))
+    versions = driver_tables.customer_versions(spark, sf)
+    dataset, _ = mining.mine(commits, versions.select("commit_hash", "file_path"), versions, trace_texts=True)
+    return rounded(dataset, "complexity")
+
+
 @query("labelled_functions")
 def _labelled_functions(spark, sf):
     """The function-level dataset with point-in-time history metrics of the file."""
@@ -1023,6 +1086,46 @@ def _mutual_information(spark, sf):
     return rounded(selection.mutual_information(_learning_rows(spark, sf), LEARN), "score")
 
 
+MEASURED = ["price", "quantity", "charge"]
+
+
+@query(
+    "neighbour_information",
+    """WITH f AS (
+         SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, unnest([0, 1, 2]) AS position,
+                unnest([l_extendedprice, l_quantity, l_quantity * 64 + l_linenumber]) AS x FROM lineitem),
+       points AS (
+         SELECT *, count(*) OVER (PARTITION BY position, y) AS class_rows, least(
+             coalesce(lead(x, 3) OVER w, 'inf'::DOUBLE) - x,
+             greatest(x - coalesce(lag(x) OVER w, '-inf'::DOUBLE), coalesce(lead(x, 2) OVER w, 'inf'::DOUBLE) - x),
+             greatest(x - coalesce(lag(x, 2) OVER w, '-inf'::DOUBLE), coalesce(lead(x) OVER w, 'inf'::DOUBLE) - x),
+             x - coalesce(lag(x, 3) OVER w, '-inf'::DOUBLE)) AS r
+         FROM f WINDOW w AS (PARTITION BY position, y ORDER BY x)),
+       sums AS (
+         SELECT position, x, here, CAST(sum(here) OVER (PARTITION BY position ORDER BY x) AS BIGINT) AS upto
+         FROM (SELECT position, x, count(*) AS here FROM f GROUP BY ALL)),
+       psi AS (
+         SELECT n, sum(CASE WHEN n = 1 THEN -0.5772156649015329::DOUBLE ELSE 1 / (n - 1)::DOUBLE END) OVER (ORDER BY n) AS v
+         FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM lineitem))) AS n)),
+       inside AS (
+         SELECT p.position, p.class_rows, CASE WHEN r > 0 THEN hi.upto - coalesce(lo.upto, 0) ELSE e.here END AS m
+         FROM points p JOIN sums e ON e.position = p.position AND e.x = p.x
+         ASOF LEFT JOIN sums hi ON p.position = hi.position AND p.x + p.r > hi.x
+         ASOF LEFT JOIN sums lo ON p.position = lo.position AND p.x - p.r >= lo.x)
+       SELECT i.position, ['price', 'quantity', 'charge'][i.position + 1] AS feature,
+              round(greatest(0, (SELECT max(v) FROM psi) + (SELECT v FROM psi WHERE n = 3) - avg(c.v) - avg(m.v)), 6) AS score
+       FROM inside i JOIN psi c ON c.n = i.class_rows JOIN psi m ON m.n = i.m GROUP BY i.position""",
+)
+def _neighbour_information(spark, sf):
+    lines = driver_tables.table(spark, sf, "lineitem").select(
+        (F.col("l_returnflag") == "R").cast("int").alias("y"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_quantity").alias("quantity"),
+        (F.col("l_quantity") * 64 + F.col("l_linenumber")).alias("charge"),
+    )
+    return rounded(selection.neighbour_information(lines, MEASURED), "score")
+
+
 @query(
     "scaling_moments",
     f"WITH p AS ({PREPARED}) "

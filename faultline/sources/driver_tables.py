@@ -149,6 +149,26 @@ def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
 
 
+def line_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one source as versions of one file that holds the document's different lines in order."""
+    lines = F.array_sort(F.array_remove(F.array_distinct(F.split("text", "\n")), ""))
+    return table(spark, sf_dir, "documents").select(
+        F.coalesce("source", F.lit("")).alias("file_path"), "doc_id", F.array_join(lines, "\n").alias("content")
+    )
+
+
+def customer_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as versions of one file of 8 to 12 assignments, some of which change with each order."""
+    orders = order_commits(spark, sf_dir).select("o_orderkey", "commit_hash", "author", "commit_ts")
+    lines = "transform(sequence(1, cast(8 + o_orderkey % 5 as int)), s -> concat('x', s, ' = ', (o_orderkey div s) % 3))"
+    return spread(orders, "o_orderkey").select(
+        F.concat(F.lit("src/"), "author", F.lit(".py")).alias("file_path"),
+        "commit_hash",
+        "commit_ts",
+        F.expr(f"array_join({lines}, '\n')").alias("content"),
+    )
+
+
 def conversation_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn against the one before it ('' before the first), written as a unified diff."""
     turns = table(spark, sf_dir, "conversations")

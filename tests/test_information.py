@@ -1,0 +1,68 @@
+"""Mutual information by nearest neighbours against all distances, and neighbours in order against sorting."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from faultline.operators import selection, spread
+
+
+def by_all_distances(rows, i, k=3):
+    """The estimate with a list of all distances for every row."""
+    psi = lambda n: sum(1 / j for j in range(1, n)) - 0.5772156649015329
+    rows = [(y, r[i]) for y, *r in rows if y is not None and r[i] is not None]
+    sizes = {y: sum(z == y for z, _ in rows) for y, _ in rows}
+    rows = [(y, x) for y, x in rows if sizes[y] > 1]
+    total = 0.0
+    for at, (y, x) in enumerate(rows):
+        least = min(k, sizes[y] - 1)
+        own = sorted(abs(v - x) for j, (z, v) in enumerate(rows) if z == y and j != at)
+        radius = own[least - 1]
+        inside = sum(abs(v - x) < radius or v == x for _, v in rows)
+        total += psi(least) - psi(sizes[y]) - psi(inside)
+    return max(0.0, psi(len(rows)) + total / len(rows)) if rows else 0.0
+
+
+def sample(n=160):
+    """Heavy ties, one value for a third of all rows, values on a grid, a class of one row, one of two, nulls."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(n):
+        y = rng.randrange(2)
+        rows.append((y, float(rng.randrange(3) + y), rng.gauss(2 * y, 1) // 0.0625 / 16, 7.0 if i % 3 else float(-i)))
+    return rows + [(5, 1.0, 2.0, 3.0), (6, 0.5, 1.5, 2.5), (6, 0.25, 9.0, 2.5), (None, 1.0, 1.0, 1.0), (1, None, 0.5, -0.0)]
+
+
+@pytest.mark.parametrize("rows_per_bucket, partitions", [(10**6, 1), (9, 16)])
+def test_neighbour_information(spark, rows_per_bucket, partitions):
+    rows = sample()
+    df = spark.createDataFrame(rows, "y int, a double, b double, c double").repartition(partitions)
+    got = selection.neighbour_information(df, ["a", "b", "c"], rows_per_bucket=rows_per_bucket).collect()
+    scores = {r.feature: r.score for r in got}
+    assert scores == pytest.approx({f: by_all_distances(rows, i) for i, f in enumerate("abc")}, abs=1e-9)
+    assert scores["b"] > 0.1
+
+
+def test_nothing_to_learn_from(spark):
+    df = spark.createDataFrame([(0, 1.0)], "y int, a double")
+    for rows in (df, df.filter("false")):
+        assert [tuple(r) for r in selection.neighbour_information(rows, ["a"]).collect()] == [(0, "a", 0.0)]
+
+
+@pytest.mark.parametrize("rows_per_bucket", [10**6, 4])
+def test_nearby_rows(spark, rows_per_bucket):
+    data = {"big": random.Random(5).sample(range(100), 40), "small": [3, 9], "one": [1]}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v int")
+    for r in spread.nearby_rows(df, ["k"], "v", ["v"], 3, rows_per_bucket).collect():
+        order = sorted(data[r.k])
+        at = order.index(r.v)
+        assert [e.v for e in r.before] == order[max(0, at - 3) : at]
+        assert [e.v for e in r.after] == order[at + 1 : at + 4]
+
+
+def test_digamma(spark):
+    row = spark.range(1).select(*[selection.digamma(F.lit(n)).alias(f"n{n}") for n in (1, 2, 100)]).first()
+    euler = 0.5772156649015329
+    assert list(row) == pytest.approx([-euler, 1 - euler, math.fsum(1 / j for j in range(1, 100)) - euler], abs=1e-10)
