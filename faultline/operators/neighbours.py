@@ -1,10 +1,18 @@
 """Exact k nearest neighbours as a distributed join.
 
 The search runs over distinct vectors, so a vector shared by a third of all rows is one entry with a
-count. Each vector belongs to the nearest of a few pivots (its cell). A first pass inside the own
-block bounds the distance to the k-th neighbour; the triangle inequality then names the cells that
-can hold anything closer, and a second pass compares with those only. Cells are cut into blocks of
-bounded size on the query side and on the data side, so no task holds a whole cell.
+count. It has two steps.
+
+Sweeps put all vectors in order of their projection on a random direction, cut the order into runs
+and compare every run with itself and the two beside it. Projections are never further apart than the
+vectors, so a row whose k-th candidate is nearer than both ends of what it was compared with has its
+certificate: nothing outside can be closer. Rows without one keep the distance as their bound.
+
+Only those rows are searched in full. Vectors belong to the nearest of a bounded number of top pivots
+and, within it, to the nearest of that cell's own pivots, so a row is compared with about the fourth
+root of all rows on each level. The triangle inequality names the cells, first on the top level and
+then below it, that can hold anything within the bound. Cells are cut into blocks of bounded size on
+the query side and on the data side, so no task holds a whole cell.
 """
 
 from __future__ import annotations
@@ -14,14 +22,21 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.session import materialize
 
 BLOCK_ROWS = 4_000
+DIRECTIONS = 2
+TOP_PIVOTS = 1_024
+OWN_PIVOTS = 4_096
+SEED = 42
+_RUNS_PER_TASK = 32
 _CHUNK = 256
 _SLACK = 1e-9
+_FOUND = "vec string, rank int, neighbour string, squared_distance double, certified boolean"
 
 
 def distinct_vectors(df: DataFrame, id_column: str, features: list[str], label: str = "y") -> DataFrame:
@@ -49,115 +64,258 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _roots(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Distances of a few rows of ``a`` at a time to all of ``b``."""
+    for at in range(0, len(a), _CHUNK):
+        yield slice(at, at + _CHUNK), np.sqrt(_squared(a[at : at + _CHUNK], b))
+
+
 def _k_smallest(ids: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, k: int):
-    """Rows (id, neighbour, squared distance): the k nearest others of each a, ties by id."""
+    """Arrays (row of a, place in other, squared distance) of the k nearest others, by distance and then id.
+
+    A product of matrices leaves few candidates; what it can be wrong by is added to the limit, and the
+    candidates are measured feature by feature.
+    """
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     order = np.argsort(other)
-    other, b = other[order], b[order]
+    sorted_ids, b = other[order], b[order]
+    place = np.minimum(np.searchsorted(sorted_ids, ids), len(other) - 1)
+    own = sorted_ids[place] == ids
+    size_b = np.square(b).sum(axis=1)
+    error = 8 * (a.shape[1] + 8) * np.finfo(float).eps
     for at in range(0, len(a), _CHUNK):
-        block = _squared(a[at : at + _CHUNK], b)
-        block[ids[at : at + _CHUNK, None] == other[None, :]] = np.inf
-        nearest = np.argsort(block, axis=1, kind="stable")[:, :k]
-        for row, columns in enumerate(nearest):
-            for c in columns:
-                if np.isfinite(block[row, c]):
-                    yield ids[at + row], other[c], block[row, c]
+        part, here = a[at : at + _CHUNK], np.flatnonzero(own[at : at + _CHUNK])
+        size_a = np.square(part).sum(axis=1)
+        rough = size_a[:, None] + size_b - 2 * (part @ b.T)
+        rough[here, place[at + here]] = np.inf
+        last = min(k, len(b)) - 1
+        limit = np.partition(rough, last, axis=1)[:, last] + error * (size_a + size_b.max())
+        row, column = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+        exact = np.zeros(len(row))
+        for i in range(part.shape[1]):
+            exact += np.square(part[row, i] - b[column, i])
+        by = np.lexsort((column, exact, row))
+        row, column, exact = row[by], column[by], exact[by]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((at + row[kept], order[column[kept]], exact[kept]))
+    return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
 
 
+class _Run:
+    """A stretch of the order along a direction."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.rows, self.x = rows, _stack(rows["x"])
+        self.p, self.ids = rows["p"].to_numpy(), rows["vec"].to_numpy()
+
+
+def _compare_runs(before: _Run | None, run: _Run, after: _Run | None, k: int, least: float, most: float) -> pd.DataFrame:
+    """The run's rows with a tighter ``bound``, and ``near`` where nothing outside the three runs can be closer."""
+    rows = run.rows
+    bound, near = rows["bound"].to_numpy(float).copy(), np.full(len(rows), None, object)
+    asks = np.flatnonzero(rows["asks"].to_numpy(bool))
+    if len(asks):
+        beside = [r for r in (before, run, after) if r is not None]
+        others, x = np.concatenate([r.ids for r in beside]), run.x[asks]
+        row, place, squared = _k_smallest(run.ids[asks], x, others, np.concatenate([r.x for r in beside]), k)
+        starts = np.searchsorted(row, np.arange(len(asks) + 1))
+        full = starts[1:] - starts[:-1] == k
+        reach = np.full(len(asks), np.inf)
+        reach[full] = np.sqrt(squared[starts[1:][full] - 1])
+        bound[asks] = np.minimum(bound[asks], reach)
+        low = -np.inf if beside[0].p[0] <= least else beside[0].p[0]
+        high = np.inf if beside[-1].p[-1] >= most else beside[-1].p[-1]
+        # rounding of projections and distances
+        slack = _SLACK * (np.where(full, reach, 0) + np.sqrt(np.square(x).sum(axis=1)) + _SLACK)
+        certain = (run.p[asks] - low > reach + slack) & (high - run.p[asks] > reach + slack)
+        if np.isinf(low) and np.isinf(high):
+            certain[:] = True  # all vectors were compared
+        for i in np.flatnonzero(certain):
+            span = slice(starts[i], starts[i + 1])
+            near[asks[i]] = [
+                {"neighbour": other, "squared_distance": d} for other, d in zip(others[place[span]], squared[span])
+            ]
+    return rows[["vec", "x"]].assign(asks=rows["asks"], bound=bound, near=near)
+
+
+def sweep(rows: DataFrame, n: int, direction: np.ndarray, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``rows`` (vec, x, asks, bound) with tighter bounds, and ``near`` for askers that got their certificate."""
+    size = max(1, block_rows // 2)
+    turned = F.zip_with("x", F.array(*map(F.lit, direction.tolist())), lambda x, u: x * u)
+    projected = rows.withColumn("p", F.aggregate(turned, F.lit(0.0), lambda a, b: a + b))
+    ends = projected.agg(F.min("p").alias("least"), F.max("p").alias("most")).first()
+    # at least four runs a task, as runs at the ends of a task are compared with one neighbour only
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(cores, n // (4 * size)), n // (_RUNS_PER_TASK * size))
+    ordered = projected.repartitionByRange(tasks, "p", "vec").sortWithinPartitions("p", "vec")
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[_Run]:
+        waiting = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(map(len, waiting)) >= size:
+                rows = pd.concat(waiting, ignore_index=True)
+                whole = len(rows) // size * size
+                for at in range(0, whole, size):
+                    yield _Run(rows[at : at + size].reset_index(drop=True))
+                waiting = [rows[whole:]]
+        if sum(map(len, waiting)):
+            yield _Run(pd.concat(waiting, ignore_index=True))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = run = None
+        for after in runs(batches):
+            if run is not None:
+                yield _compare_runs(before, run, after, k, ends["least"], ends["most"])
+            before, run = run, after
+        if run is not None:
+            yield _compare_runs(before, run, None, k, ends["least"], ends["most"])
+
+    near = "near array<struct<neighbour: string, squared_distance: double>>"
+    return materialize(
+        ordered.mapInPandas(compare, f"vec string, x array<double>, asks boolean, bound double, {near}"), "swept"
+    )
+
+
 def nearest(
     vectors: DataFrame,
     k: int,
     wanted: Column | None = None,
     block_rows: int = BLOCK_ROWS,
-    max_pivots: int | None = None,
+    top_pivots: int = TOP_PIVOTS,
+    directions: int = DIRECTIONS,
 ) -> DataFrame:
-    """(vec, rank, neighbour, squared_distance) for each vector, ranked by distance and then id.
+    """(vec, rank, neighbour, squared_distance, certified) for each vector, ranked by distance and then id.
 
     ``vectors`` holds unique ``vec`` strings and arrays ``x``; ``wanted`` limits who asks, not who
-    can be found.
+    can be found. ``certified`` rows needed no full search; the result does not depend on it.
     """
-    source = materialize(
-        vectors.select("vec", "x", (F.lit(True) if wanted is None else wanted).alias("asks")), "vectors"
+    rows = materialize(
+        vectors.select(
+            "vec", "x", (F.lit(True) if wanted is None else wanted).alias("asks"), F.lit(math.inf).alias("bound")
+        ),
+        "vectors",
     )
-    n = source.count()
+    n = rows.count()
     if n < 2:
-        return source.sparkSession.createDataFrame([], "vec string, rank int, neighbour string, squared_distance double")
-    # as many cells as rows in a cell, once there are enough rows for that; the driver holds sqrt(n) pivots
-    wanted_pivots = max(1, min(n // block_rows, max_pivots or math.isqrt(n)))
+        return rows.sparkSession.createDataFrame([], _FOUND)
+    width, draw = rows.select(F.size("x")).first()[0], np.random.default_rng(SEED)
+    certified = None
+    for _ in range(directions):
+        direction = draw.normal(size=width)
+        swept = sweep(rows, n, direction / np.linalg.norm(direction), k, block_rows)
+        part = swept.filter(F.col("near").isNotNull()).select("vec", F.posexplode("near").alias("_rank", "_n"))
+        part = part.select(
+            "vec",
+            (F.col("_rank") + 1).alias("rank"),
+            "_n.neighbour",
+            "_n.squared_distance",
+            F.lit(True).alias("certified"),
+        )
+        certified = part if certified is None else certified.unionByName(part)
+        rows = swept.select("vec", "x", (F.col("asks") & F.col("near").isNull()).alias("asks"), "bound")
+        if rows.filter("asks").isEmpty():
+            return certified
+    rest = _full_search(rows, n, k, block_rows, top_pivots).withColumn("certified", F.lit(False))
+    return rest if certified is None else certified.unionByName(rest)
+
+
+def _full_search(source: DataFrame, n: int, k: int, block_rows: int, top_pivots: int) -> DataFrame:
+    """(vec, rank, neighbour, squared_distance) of the rows of a written table that still ask."""
+    leaves = max(1, n // block_rows)
+    count = max(1, min(top_pivots, math.isqrt(leaves)))
     pivots = np.array(
-        [r["x"] for r in source.orderBy(F.md5("vec"), "vec").limit(wanted_pivots).select("x").collect()],
-        dtype=float,
+        [r["x"] for r in source.orderBy(F.md5("vec"), "vec").limit(count).select("x").collect()], dtype=float
     )
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            d = np.sqrt(_squared(_stack(batch["x"]), pivots))
-            cell = d.argmin(axis=1)
-            yield batch.assign(cell=cell.astype("int32"), radius=d[np.arange(len(d)), cell])
-
-    placed = source.mapInPandas(assign, "vec string, x array<double>, asks boolean, cell int, radius double")
-    # a row a pivot
-    cells = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("radius").alias("inner"), F.max("radius").alias("outer")
-    ).collect()
-    blocks = {r["cell"]: -(-r["n"] // block_rows) for r in cells}
-    placed = materialize(_in_blocks(placed, "block", blocks), "placed")
-
+            x = _stack(batch["x"])
+            top, radius = np.zeros(len(x), "int64"), np.zeros(len(x))
+            for at, d in _roots(x, pivots):
+                top[at], radius[at] = d.argmin(axis=1), d.min(axis=1)
+            yield batch.assign(top=top, top_radius=radius)
+
+    rows_schema = "vec string, x array<double>, asks boolean, bound double, top long, top_radius double"
+    placed = materialize(source.mapInPandas(assign, rows_schema), "topped")
+    # a row a top pivot
+    tops = placed.groupBy("top").agg(
+        F.count(F.lit(1)).alias("n"), F.min("top_radius").alias("inner"), F.max("top_radius").alias("outer")
+    )
+    tops = materialize(tops, "tops")
     inner, outer = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
-    for r in cells:
-        inner[r["cell"]], outer[r["cell"]] = r["inner"], r["outer"]
-
-    def bound(block: pd.DataFrame) -> pd.DataFrame:
-        """Distance to the k-th neighbour within the block, or among the pivots if that is less."""
-        x = _stack(block["x"])
-        out = np.full(len(x), np.inf)
-        for at in range(0, len(x), _CHUNK):
-            part = _squared(x[at : at + _CHUNK], x)
-            part[np.arange(len(part)), at + np.arange(len(part))] = np.inf
-            to_pivots = _squared(x[at : at + _CHUNK], pivots)
-            to_pivots[to_pivots == 0] = np.inf
-            for d in (part, to_pivots):
-                if d.shape[1] >= k:
-                    kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-                    out[at : at + _CHUNK] = np.minimum(out[at : at + _CHUNK], np.sqrt(kth))
-        return block[["vec", "x"]].assign(bound=out)[block["asks"].to_numpy()]
+    for r in tops.collect():
+        inner[r["top"]], outer[r["top"]] = r["inner"], r["outer"]
+
+    # pivots of a top cell: one row in block_rows, by hash; a cell without any has one at its first row
+    by_hash = Window.partitionBy("top").orderBy(F.xxhash64("vec"), "vec")
+    drawn = placed.filter(F.pmod(F.xxhash64("vec", F.lit(SEED)), F.lit(block_rows)) == 0).select("vec", "x", "top")
+    first = placed.groupBy("top").agg(F.min("vec").alias("vec")).join(placed.select("vec", "x"), "vec")
+    own = drawn.unionByName(first.select("vec", "x", "top")).dropDuplicates(["vec"])
+    own = own.withColumn("_at", F.row_number().over(by_hash) - 1).filter(F.col("_at") < OWN_PIVOTS)
+    own = materialize(own.select("top", (F.col("top") * OWN_PIVOTS + F.col("_at")).alias("cell"), F.col("x").alias("px")), "own-pivots")
+
+    def settle(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        x, names = _stack(rows["x"]), own["cell"].to_numpy()
+        cell, radius = np.zeros(len(x), "int64"), np.zeros(len(x))
+        for at, d in _roots(x, _stack(own["px"])):
+            cell[at], radius[at] = names[d.argmin(axis=1)], d.min(axis=1)
+        return rows[["vec", "x"]].assign(cell=cell, radius=radius)
+
+    parts = tops.select("top", _blocks("n", block_rows).alias("_n"))
+    settled = (
+        _in_blocks(placed.select("vec", "x", "top"), "part", "top", parts)
+        .groupBy("top", "part")
+        .cogroup(_in_every_block(own, "part", "top", parts).groupBy("top", "part"))
+        .applyInPandas(settle, "vec string, x array<double>, cell long, radius double")
+    )
+    settled = materialize(settled, "settled")
+    cells = settled.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("radius").alias("inner"), F.max("radius").alias("outer")
+    )
+    cells = materialize(cells.join(own, "cell"), "cells")
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each query with the cells that may hold one of its k nearest neighbours."""
+        """Each query with the top cells that may hold one of its k nearest neighbours."""
         for batch in batches:
-            d = np.sqrt(_squared(_stack(batch["x"]), pivots))
-            reach = batch["bound"].to_numpy()[:, None] * (1 + _SLACK) + _SLACK
-            near = (d - outer <= reach) & (inner - d <= reach)
-            rows, cell = np.nonzero(near)
-            yield pd.DataFrame(
-                {
-                    "vec": batch["vec"].to_numpy()[rows],
-                    "x": batch["x"].to_numpy()[rows],
-                    "cell": cell.astype("int32"),
-                }
-            )
-
+            x, reach = _stack(batch["x"]), _reach(batch["bound"])
+            for at, d in _roots(x, pivots):
+                row, top = np.nonzero(_in_ring(d, reach[at], inner, outer))
+                yield batch.iloc[at].iloc[row][["vec", "x", "bound"]].assign(top=top.astype("int64"))
+
+    def descend(rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        x, reach, names = _stack(rows["x"]), _reach(rows["bound"]), cells["cell"].to_numpy()
+        rings, out = (cells["inner"].to_numpy(), cells["outer"].to_numpy()), [rows[["vec", "x"]].iloc[:0].assign(cell=0)]
+        for at, d in _roots(x, _stack(cells["px"])):
+            row, place = np.nonzero(_in_ring(d, reach[at], *rings))
+            out.append(rows.iloc[at].iloc[row][["vec", "x"]].assign(cell=names[place]))
+        return pd.concat(out, ignore_index=True)
+
+    routed = source.filter("asks").select("vec", "x", "bound")
+    routed = materialize(routed.mapInPandas(route, "vec string, x array<double>, bound double, top long"), "routed")
+    parts = routed.groupBy("top").agg(_blocks(F.count(F.lit(1)), block_rows).alias("_n"))
     asked = (
-        placed.groupBy("cell", "block")
-        .applyInPandas(bound, "vec string, x array<double>, bound double")
-        .mapInPandas(route, "vec string, x array<double>, cell int")
+        _in_blocks(routed, "part", "top", parts)
+        .groupBy("top", "part")
+        .cogroup(_in_every_block(cells, "part", "top", parts).groupBy("top", "part"))
+        .applyInPandas(descend, "vec string, x array<double>, cell long")
     )
     asked = materialize(asked, "asked")
-    # one row per cell again
-    askers = {r["cell"]: -(-r["count"] // block_rows) for r in asked.groupBy("cell").count().collect()}
-    queries = _in_every_block(_in_blocks(asked, "part", askers), "block", blocks)
-    data = _in_every_block(placed.select("vec", "x", "cell", "block"), "part", askers)
+    blocks = cells.select("cell", _blocks("n", block_rows).alias("_n"))
+    askers = materialize(asked.groupBy("cell").agg(_blocks(F.count(F.lit(1)), block_rows).alias("_n")), "askers")
+    queries = _in_every_block(_in_blocks(asked, "part", "cell", askers), "block", "cell", blocks)
+    data = _in_every_block(_in_blocks(settled.select("vec", "x", "cell"), "block", "cell", blocks), "part", "cell", askers)
 
     def compare(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(queries) and len(data):
-            rows = _k_smallest(
-                queries["vec"].to_numpy(), _stack(queries["x"]), data["vec"].to_numpy(), _stack(data["x"]), k
-            )
-        return pd.DataFrame(rows, columns=["vec", "neighbour", "squared_distance"])
+        if not len(queries) or not len(data):
+            return pd.DataFrame({"vec": [], "neighbour": [], "squared_distance": []})
+        ids, others = queries["vec"].to_numpy(), data["vec"].to_numpy()
+        row, place, squared = _k_smallest(ids, _stack(queries["x"]), others, _stack(data["x"]), k)
+        return pd.DataFrame({"vec": ids[row], "neighbour": others[place], "squared_distance": squared})
 
     groups = ["cell", "block", "part"]
     found = (
@@ -173,19 +331,28 @@ def nearest(
     )
 
 
-def _lookup(df: DataFrame, counts: dict[int, int]) -> DataFrame:
-    spark = df.sparkSession
-    table = spark.createDataFrame([(int(c), int(v)) for c, v in counts.items()], "cell int, _blocks int")
-    return df.join(F.broadcast(table), "cell")  # a row a pivot
+def _reach(bound: pd.Series) -> np.ndarray:
+    return bound.to_numpy(float) * (1 + _SLACK) + _SLACK
 
 
-def _in_blocks(df: DataFrame, alias: str, counts: dict[int, int]) -> DataFrame:
-    return _lookup(df, counts).withColumn(
-        alias, F.pmod(F.xxhash64("vec"), F.col("_blocks")).cast("int")
-    ).drop("_blocks")
+def _in_ring(d: np.ndarray, reach: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """Whether a cell between two radii can hold anything within reach of a row d away from its pivot."""
+    slack = reach[:, None] + _SLACK * d
+    return (d - outer <= slack) & (inner - d <= slack)
+
+
+def _blocks(rows, block_rows: int) -> Column:
+    rows = F.col(rows) if isinstance(rows, str) else rows
+    return F.ceil(rows / block_rows).cast("int")
+
+
+def _in_blocks(df: DataFrame, alias: str, key: str, counts: DataFrame) -> DataFrame:
+    return (
+        df.join(counts, key)
+        .withColumn(alias, F.pmod(F.xxhash64("vec"), F.col("_n")).cast("int"))
+        .drop("_n")
+    )
 
 
-def _in_every_block(df: DataFrame, alias: str, counts: dict[int, int]) -> DataFrame:
-    return _lookup(df, counts).withColumn(
-        alias, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    ).drop("_blocks")
+def _in_every_block(df: DataFrame, alias: str, key: str, counts: DataFrame) -> DataFrame:
+    return df.join(counts, key).withColumn(alias, F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")

@@ -126,6 +126,26 @@ def test_neighbours_match_brute_force(spark, block_rows):
         assert found[name] == [ids[j] for j in wanted]
 
 
+@pytest.mark.parametrize("directions", [0, 2])
+def test_neighbours_by_certificate_and_by_tree(spark, directions):
+    # a grid with very many ties, clusters far from each other, one vector at the far end
+    rng = np.random.default_rng(3)
+    grid = np.array([(i % 8, i // 8) for i in range(64)], float)
+    x = np.unique(np.concatenate([grid, rng.normal(size=(80, 2)).round(3) + 1000, [[1e6, 1e6]]]), axis=0)
+    ids = [f"v{i}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec string, x array<double>")
+    rows = neighbours.nearest(df, 3, block_rows=24, top_pivots=2, directions=directions).collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        found.setdefault(r.vec, []).append(r.neighbour)
+    for i, name in enumerate(ids):
+        d = ((x - x[i]) ** 2).sum(1)
+        wanted = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (d[j], ids[j]))[:3]
+        assert found[name] == [ids[j] for j in wanted]
+    certified = {r.vec for r in rows if r.certified}
+    assert not certified if directions == 0 else 0 < len(certified) < len(ids)
+
+
 def test_tomek_links_match_brute_force(spark):
     x, y, df = vectors(spark)
     n = len(x)
