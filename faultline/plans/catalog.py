@@ -458,6 +458,21 @@ def _newest_versions(spark, sf):
     )
 
 
+@query(
+    "found_versions",
+    """SELECT a.source AS file_path, a.doc_id + 1 AS doc_id, b.doc_id IS NOT NULL AS found, md5(b.text) AS content_md5
+       FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1 AND b.source = a.source""",
+)
+def _found_versions(spark, sf):
+    """The version of each file at the document after each of its own; mostly another file's, so not found."""
+    versions = _file_versions(spark, sf)
+    wanted = versions.select("file_path", (F.col("commit_hash").cast("long") + 1).cast("string").alias("commit_hash"))
+    return history.content_at(versions, wanted, missing="keep").select(
+        "file_path", F.col("commit_hash").cast("long").alias("doc_id"), "found",
+        F.md5(F.encode("content", "UTF-8")).alias("content_md5"),
+    )
+
+
 @query(
     "first_files",
     f"""SELECT commit_hash, file_path, pos FROM (

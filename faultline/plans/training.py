@@ -15,9 +15,12 @@ from faultline.operators.selection import select_best_method, select_features
 from faultline.operators.spread import running_sum
 from faultline.operators.training import Settings, Trained
 from faultline.session import materialize
-from faultline.sources.datasets import aligned_union, prepare
+from faultline.sources.datasets import aligned_union, prepare, read_labelled, write_dataset
 from faultline.sources.model_store import save_models
 
+# a mined dataset of fewer rows, without a base, gets a warning
+FEW_ROWS = 50
+
 
 @dataclass
 class TrainingConfig:
@@ -39,6 +42,8 @@ class TrainingConfig:
     max_fit_rows: int | None = None
     leakage_check: bool = False
     parallelism: int = training.PARALLELISM
+    # where the base dataset with the new rows is written, as CSV if the name ends so, else Parquet
+    merged_to: str | None = None
     save_to: str | None = None
     save_top: int | None = None
 
@@ -60,6 +65,9 @@ class TrainingResult:
     method: str
     metrics: DataFrame
     leakage: DataFrame | None
+    # rows of the base, of the given dataset and of both
+    sizes: dict[str, int] = field(default_factory=dict)
+    warnings: list[str] = field(default_factory=list)
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -75,11 +83,33 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return materialize(named.drop("_content", "_scan", "_copy"), "dataset")
 
 
+def merge(
+    dataset: DataFrame, base: DataFrame | None, merged_to: str | None = None
+) -> tuple[DataFrame, dict[str, int], list[str]]:
+    """The dataset below its base, the sizes of both and what is to be warned of.
+
+    With ``merged_to`` the merged rows are written there and read back, so that training and later
+    readers of the file see the same rows.
+    """
+    sizes = {"base": 0 if base is None else base.count(), "new": dataset.count()}
+    sizes["merged"] = sizes["base"] + sizes["new"]
+    merged = dataset if base is None else aligned_union(base, dataset)
+    few = base is None and sizes["new"] < FEW_ROWS
+    warnings = [f"the dataset is very small ({sizes['new']} rows), results may not be reliable"] if few else []
+    if base is not None and not sizes["new"]:
+        warnings.append("the dataset has no rows, only its base is used")
+    if merged_to:
+        format = "csv" if merged_to.rstrip("/").endswith(".csv") else "parquet"
+        write_dataset(merged, merged_to, format)
+        merged = read_labelled(dataset.sparkSession, merged_to, format=format)
+    return merged, sizes, warnings
+
+
 def run_training(dataset: DataFrame, config: TrainingConfig | None = None, base: DataFrame | None = None) -> TrainingResult:
     """Clean, split, select features, even out classes, fit, measure, rank and save."""
     config = config or TrainingConfig()
     spark = dataset.sparkSession
-    merged = dataset if base is None else aligned_union(base, dataset)
+    merged, sizes, warnings = merge(dataset, base, config.merged_to)
     clean, features = prepare(merged, config.whitelist, extra_features=config.extra_features)
     rows = with_row_id(clean)
 
@@ -111,4 +141,4 @@ def run_training(dataset: DataFrame, config: TrainingConfig | None = None, base:
     )
     if config.save_to:
         save_models(spark, models, config.save_to, config.save_top)
-    return TrainingResult(models, chosen, method, training.metrics_table(spark, models), leakage)
+    return TrainingResult(models, chosen, method, training.metrics_table(spark, models), leakage, sizes, warnings)

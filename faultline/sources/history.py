@@ -140,12 +140,27 @@ def first_files(file_changes: DataFrame, n: int) -> DataFrame:
     )
 
 
-def content_at(file_versions: DataFrame, wanted: DataFrame) -> DataFrame:
-    """File text for (file_path, commit_hash); a null hash means the newest version of the file."""
+def content_at(file_versions: DataFrame, wanted: DataFrame, missing: str = "drop") -> DataFrame:
+    """File text for (file_path, commit_hash); a null hash means the newest version of the file.
+
+    A version that does not exist gives no row; with ``missing="keep"`` it gives one with null content and
+    ``found`` false, with ``missing="error"`` the job fails and names the first such version it meets.
+    """
+    if missing not in ("drop", "keep", "error"):
+        raise ValueError(f"missing is drop, keep or error, not {missing!r}")
     exact = wanted.filter(F.col("commit_hash").isNotNull())
     newest = wanted.filter(F.col("commit_hash").isNull()).select("file_path")
-    resolved = exact.unionByName(newest.join(newest_version(file_versions), "file_path"))
-    return resolved.join(file_versions, ["file_path", "commit_hash"])
+    known = newest_version(file_versions)
+    if missing == "drop":
+        resolved = exact.unionByName(newest.join(known, "file_path"))
+        return resolved.join(file_versions, ["file_path", "commit_hash"])
+    resolved = exact.unionByName(newest.join(known, "file_path", "left"))
+    found = resolved.join(file_versions.withColumn("found", F.lit(True)), ["file_path", "commit_hash"], "left")
+    found = found.withColumn("found", F.coalesce("found", F.lit(False)))
+    if missing == "keep":
+        return found
+    message = F.concat(F.lit("File "), "file_path", F.lit(" not found at commit "), F.coalesce("commit_hash", F.lit("(newest)")))
+    return found.filter(F.col("found") | F.raise_error(message).cast("boolean")).drop("found")
 
 
 def newest_version(file_versions: DataFrame) -> DataFrame:

@@ -182,6 +182,23 @@ def test_both_sides(spark):
     assert df.select(F.size(extraction.functions_in(F.col("before"), F.col("language")))).first()[0] == 0
 
 
+def test_functions_leave_in_batches_and_by_table_function(spark):
+    many = "\n".join(f"def f{i}(a, b):\n    return a" for i in range(2_500))
+    texts = [(1, many, "python"), (2, "", "python"), (3, None, None), (4, "class A {\n public int g (int a) { }\n}", None), (5, "no", "go")]
+    df = spark.createDataFrame(texts, "k int, content string, lang string")
+    got = sorted(tuple(r) for r in extraction.explode_functions(df, "content", "lang", ["k"], rows_per_batch=1_000).collect())
+    wanted = [
+        (k, lang, i, *(f[n] for n in extraction.FUNCTION.names))
+        for k, text, lang in texts
+        for i, f in enumerate(extraction.functions_of(text, lang))
+    ]
+    assert got == wanted and len(got) == 2_501
+    extraction.register_table_function(spark)
+    df.createOrReplaceTempView("files_to_read")
+    rows = spark.sql("SELECT k, lang, f.* FROM files_to_read, LATERAL functions_of(content, lang) f").collect()
+    assert sorted(tuple(r) for r in rows) == wanted
+
+
 def test_long_texts_are_read_once():
     for code, language in [
         (" " * 1_000_000 + "; if(a) {", "java"),

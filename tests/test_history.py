@@ -179,6 +179,16 @@ def test_versions(spark):
     wanted = spark.createDataFrame([("f", "v1"), ("g", None), ("g", "v1")], "file_path string, commit_hash string")
     got = {(r.file_path, r.commit_hash): r.content for r in history.content_at(versions, wanted).collect()}
     assert got == {("f", "v1"): "one", ("g", "v2"): "gee"}
+    wanted = wanted.unionByName(spark.createDataFrame([("none", None)], wanted.schema))
+    kept = {(r.file_path, r.commit_hash): (r.content, r.found) for r in history.content_at(versions, wanted, "keep").collect()}
+    assert kept == {
+        ("f", "v1"): ("one", True), ("g", "v2"): ("gee", True), ("g", "v1"): (None, False), ("none", None): (None, False),
+    }
+    assert history.content_at(versions, wanted.limit(1), "error").count() == 1
+    with pytest.raises(Exception, match="File (g|none) not found at commit"):
+        history.content_at(versions, wanted, "error").collect()
+    with pytest.raises(ValueError):
+        history.content_at(versions, wanted, "other")
     pair = {r.file_path: (r.before, r.after) for r in history.before_after(versions, "v1", "v2").collect()}
     assert pair == {"f": ("one", "two"), "g": ("", "gee")}
 

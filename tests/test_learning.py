@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from faultline.operators import balance, evaluation, neighbours, reporting, sampling, scaling, scoring, selection, training
 from faultline.plans import catalog
-from faultline.plans.training import OFFLINE, TrainingConfig, run_training
+from faultline.plans.training import OFFLINE, TrainingConfig, merge, run_training
 from faultline.session import scratch
 from faultline.sources import datasets, model_store
+from faultline.sources.datasets import aligned_union, read_labelled
 from faultline.streaming import jobs
 
 SMALL = {
@@ -193,6 +194,25 @@ def separable(spark, n=240, seed=8):
     return spark.createDataFrame(rows, "file_path string, added_lines double, deleted_lines double, nloc double, label string")
 
 
+@pytest.mark.parametrize("name", ["merged.csv", "merged.parquet"])
+def test_merged_training_set_is_written(spark, name):
+    path = scratch(spark, "test") + "/" + name
+    base, new = separable(spark, 90, 1), separable(spark, 40, 2).withColumn("extra", F.lit(1.5))
+    merged, sizes, warnings = merge(new, base, path)
+    assert sizes == {"base": 90, "new": 40, "merged": 130} and warnings == []
+    wanted = aligned_union(base, new)
+    back = read_labelled(spark, path).select(*wanted.columns)
+    assert merged.columns == wanted.columns
+    for read in (back, merged):
+        typed = read.select(*(F.col(c).cast(wanted.schema[c].dataType).alias(c) for c in wanted.columns))
+        assert typed.exceptAll(wanted).count() == 0 and typed.count() == 130
+    assert "very small (40 rows)" in merge(new, None)[2][0] and merge(base, None)[2] == []
+    assert merge(new.limit(0), base)[2] == ["the dataset has no rows, only its base is used"]
+    config = TrainingConfig(selection=None, balance=False, settings=SMALL, models=["Naive Bayes"], merged_to=path)
+    result = run_training(new, config, base)
+    assert result.sizes["merged"] == 130 and read_labelled(spark, path).count() == 130
+
+
 def test_training_end_to_end(spark):
     path = scratch(spark, "test-models")
     config = TrainingConfig(
