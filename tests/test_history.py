@@ -268,3 +268,16 @@ def test_mining_declared_tables(spark, unit):
     got = {r.commit_hash: (r.label, r.commit_count_30d) for r in data.collect()}
     assert got == {"c1": ("CLEAN", 1), "c2": ("BUGGY", 2), "c4": ("CLEAN", 3)}
     assert found.inducing.first().file_path == "a.py"
+
+
+def test_features_without_names_need_no_sort(spark):
+    rows = [("f", "c1", "ann", "2024-01-01", 3, 1), ("f", "c2", "bob", "2024-01-05", 2, 2), ("g", "c2", "bob", "2024-01-05", 1, 0)]
+    changes = spark.createDataFrame(rows, "file_path string, commit_hash string, author string, t string, added long, deleted long")
+    changes = changes.withColumn("commit_ts", F.col("t").cast("timestamp")).drop("t")
+    metrics = process.metrics_now(changes, "2024-01-11 00:00:00")
+    features = process.as_features(metrics)
+    assert {r.file_path: (r.churn_30d, r.developer_count_90d, r.file_age_days) for r in features.collect()} == {"f": (8, 2, 10), "g": (1, 1, 6)}
+    plan = features._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    first = {r.file_path: (r.first_commit_hash, str(r.first_commit_ts)) for r in metrics.collect()}
+    assert first == {"f": ("c1", "2024-01-01 00:00:00"), "g": ("c2", "2024-01-05 00:00:00")}
