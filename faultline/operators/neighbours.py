@@ -9,8 +9,8 @@ vectors, so a row whose k-th candidate is nearer than both ends of what it was c
 certificate: nothing outside can be closer. Rows without one keep the distance as their bound.
 
 Only those rows are searched in full. Vectors belong to the nearest of a bounded number of top pivots
-and, within it, to the nearest of that cell's own pivots, so a row is compared with about the fourth
-root of all rows on each level. The triangle inequality names the cells, first on the top level and
+and, within it, to the nearest of that cell's own pivots, so a row is compared with about the square
+root of the number of cells on each level. The triangle inequality names the cells, first on the top level and
 then below it, that can hold anything within the bound. Cells are cut into blocks of bounded size on
 the query side and on the data side, so no task holds a whole cell.
 """
