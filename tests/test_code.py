@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultline import schema
@@ -237,3 +238,36 @@ def test_language_is_detected_when_none_is_given():
     assert [f["name"] for f in extraction.functions_of("def f(a):\n    pass", None)] == ["f"]
     assert [f["is_method"] for f in extraction.functions_of("class A {\n public int f (a) { } }", None)] == [True]
     assert extraction.functions_of("nothing here", None) == []
+
+
+def test_one_pass_over_the_tree_measures_as_a_walk_does():
+    code = (
+        "import a\n@d(x if y else z)\ndef f(a=b or c):\n  if a and b:\n    for i in [j for j in k if j]:\n      while i:\n"
+        "        def g():\n          for q in q: pass\n  else:\n    class N:\n      def m(self): return 1 if 2 else 3\n"
+        "class C(B if D else E):\n  x = 1 if 2 else 3\n  if x:\n    def m(self):\n      try:\n        pass\n      except A: pass\n"
+        "      finally: assert a\n  class I:\n    def n(self): pass\nmatch x:\n  case 1 if a: pass\n  case _: pass\n"
+    )
+    scores, deepest, nested = code_tree.measures(ast.parse(code))
+    # f: if, and, for, comprehension with one condition, while; C: base, x, if and its method m with except and assert
+    assert (sorted(scores), deepest, nested) == ([3, 7, 7], 3, 2)
+    walked = [n for n in ast.walk(ast.parse(code)) if isinstance(n, (ast.stmt, ast.ExceptHandler, ast.match_case, ast.Module))]
+    assert [ast.dump(n) for n in code_tree.statements(ast.parse(code))] == [ast.dump(n) for n in walked]
+
+
+def test_texts_of_other_languages_are_not_parsed(monkeypatch):
+    texts = ["// x\nint f() {}", "  x = 1", "\n //", "function f(a) {\n}"]
+    for text in texts:
+        with pytest.raises(SyntaxError):
+            ast.parse(text)
+    assert code_tree.parse("function if x else y") and code_tree.parse("  # only\nx = 1")
+    monkeypatch.setattr(code_tree.ast, "parse", lambda code: pytest.fail("parsed"))
+    assert [code_tree.parse(text) for text in texts] == [None] * 4
+
+
+def test_changed_lines_are_those_of_the_features(spark):
+    texts = ["", "a\nb\nc", "a\n++x\nc\n--y", "--y\n++x", None, "a\r\nb\x0bc\n\n"]
+    pairs = [(b, a, "m") for b in texts for a in texts]
+    df = spark.createDataFrame(pairs, "before string, after string, message string")
+    both = [f(df).select("before", "after", "added_lines", "deleted_lines") for f in (features.changed_lines, features.file_features)]
+    assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))
+    assert "_shapes" not in both[0]._jdf.queryExecution().toString()
