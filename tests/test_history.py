@@ -8,6 +8,7 @@ from faultline.functions import diffs
 from faultline.operators import process, szz
 from faultline.operators.spread import hot_key_cuts, previous_row, running_sum
 from faultline.plans import mining
+from faultline.session import materialize
 from faultline.sources import history
 
 
@@ -281,3 +282,43 @@ def test_features_without_names_need_no_sort(spark):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
     first = {r.file_path: (r.first_commit_hash, str(r.first_commit_ts)) for r in metrics.collect()}
     assert first == {"f": ("c1", "2024-01-01 00:00:00"), "g": ("c2", "2024-01-05 00:00:00")}
+
+
+@pytest.mark.parametrize("names", [lambda i: f"{i * 7919 % 65536:08x}", lambda i: f"Rev-{i % 97}"])
+def test_repeated_touches_leave_without_a_shuffle_of_their_own(spark, names):
+    rng = random.Random(5)
+    rows = [
+        (names(rng.randint(0, 60)), rng.choice(["a", "b", None]), f"2024-01-0{rng.randint(1, 2)} 00:00:00{rng.choice(['', '.5'])}")
+        for _ in range(300)
+    ]
+    df = spark.createDataFrame(rows * 2, "commit_hash string, file_path string, t string").withColumn("commit_ts", F.col("t").cast("timestamp"))
+    last, wanted = {}, []
+    head = lambda h: int(h[:6], 16) if h.startswith("0") or not h.startswith("R") else 0
+    for h, f, t in sorted(set(rows), key=lambda r: (r[2][:19], head(r[0]), r[0], r[2])):
+        if f in last:
+            wanted.append((h, f, last[f]))
+        last[f] = h
+    for rows_per_bucket in (10**9, 9):
+        found = szz.previous_touch(df, ["file_path"], rows_per_bucket)
+        assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, wanted))
+    plan = szz.previous_touch(df, ["file_path"])._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    fixes = spark.createDataFrame([(h, p) for h in sorted({r[0] for r in rows}) for p in (names(3), "A0")], "commit_hash string, parent_hash string")
+    traced = szz.inducing_from_history(fixes, df, ["file_path"]).collect()
+    assert sorted(map(str, (tuple(r) for r in traced))) == sorted(
+        str((h, o, f)) for h, f, o in wanted for p in (names(3), "A0") if o != p
+    )
+
+
+def test_keys_are_counted_by_a_hash_first(spark):
+    df = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
+    counted = []
+    original = type(df).filter
+    try:
+        type(df).filter = lambda self, condition: counted.append(1) or original(self, condition)
+        assert hot_key_cuts(df, ["k"], "id", 100) is None
+        assert len(counted) == 1
+        assert hot_key_cuts(df, ["k"], "id", 99).count() == 10
+    finally:
+        type(df).filter = original
+    assert all(".zstd." in f for f in materialize(df, "small").inputFiles())
