@@ -271,3 +271,50 @@ def test_changed_lines_are_those_of_the_features(spark):
     both = [f(df).select("before", "after", "added_lines", "deleted_lines") for f in (features.changed_lines, features.file_features)]
     assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))
     assert "_shapes" not in both[0]._jdf.queryExecution().toString()
+
+
+CLASS = "# rev {}\nclass Order{}:\n    def a(self, n):\n        for i in n:\n            x = 1 if i else 2\n\n    def b(cls):\n        pass\n"
+JAVA = "// rev {}\nclass Order{} {{\n    int a(int n) {{\n        for (;;) {{ n++; }}\n    }}\n    void b(String s) {{\n    }}\n}}\n"
+
+
+def test_methods_that_come_again_are_read_once(monkeypatch):
+    python, java = ([t.format(i, i) for i in range(50)] for t in (CLASS, JAVA))
+    wanted = [extraction.from_python(t) for t in python], [extraction.from_java(t) for t in java]
+    parsed, read, parse, braced = [], [], ast.parse, extraction._braced
+    monkeypatch.setattr(code_tree.ast, "parse", lambda code, *more: parsed.append(code) or parse(code, *more))
+    monkeypatch.setattr(extraction, "_braced", lambda *of: read.append(of) or braced(*of))
+    shapes = [code_tree.change_shape("", t) for t in python]
+    assert ([extraction.from_python(t) for t in python], [extraction.from_java(t) for t in java]) == wanted
+    assert not any("def" in code for code in parsed) and not read
+    assert [f["class_name"] for f in wanted[0][7]] == ["Order7", "Order7"] and wanted[1][7] == extraction._whole_java(java[7])
+    assert shapes[7] == (8, 0, True, sum(code_tree.measures(parse(python[7]))[0]) / 3, 1, 0)
+
+
+def test_texts_in_pieces_are_read_like_whole_texts(monkeypatch):
+    odd = [
+        "    @d", "        '''", "    x = (", "class B:", "    class C:", "        def inner(a):", "    else:", "\\", "    def c(cls): pass",
+        "def top():", "  y = 1", "    }", "}", "{", "(", ")", "    int c(int q)", "++x", "    type X = int", "class Z { int f(int q) { } }",
+    ]
+    draw, texts = random.Random(3), []
+    for i in range(400):
+        language, lines = draw.choice([("python", CLASS), ("java", JAVA)])
+        lines = lines.format(i, i).split("\n")
+        for _ in range(draw.randint(0, 3)):
+            lines.insert(draw.randrange(len(lines)), draw.choice(odd))
+        texts.append((language, "\n".join(lines)))
+
+    def all_of():
+        return [(extraction.functions_of(t, g), code_tree.change_shape("a\n++b", t)) for g, t in texts]
+
+    cut = all_of()
+    monkeypatch.setattr(code_tree, "in_members", lambda code: None)
+    monkeypatch.setattr(extraction, "in_members", lambda code: None)
+    monkeypatch.setattr(extraction, "from_java", extraction._whole_java)
+    assert all_of() == cut
+
+
+def test_lines_are_matched_once_for_texts_of_one_pattern():
+    before, after = "a\nb\nc{}\nd", "a\nx{}\nd\ni++"
+    code_tree._kept.cache_clear()
+    assert {code_tree.line_changes(before.format(i), after.format(i)) for i in range(50)} == {(2, 2)}
+    assert code_tree._kept.cache_info().misses == 1
