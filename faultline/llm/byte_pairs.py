@@ -105,7 +105,7 @@ class ByteCoder:
     """Ids of whole texts as the tiktoken library gives them for a file of ranks, and the way back.
 
     No match of the pattern runs from another character into white space, so texts are cut before
-    white space and each different unit of a batch is split once. All its different pre-tokens are
+    white space and each different unit is split once; short ones are remembered from batch to batch. All its different pre-tokens are
     looked up together: a minimal perfect hash names the one token each can be, and comparing the
     bytes decides. Pre-tokens that are no token are merged, lowest rank and leftmost first, by a
     heap of pairs over linked bytes in time n log n; short ones are remembered.
@@ -123,7 +123,7 @@ class ByteCoder:
         self.tokens = [tokens[k] for k in order]
         self.ids = [np.array([self.ranks[t]], "<u4").tobytes() for t in self.tokens]
         self.split = splitter(public_tokenizers.PATTERN)
-        self.remembered, self.merged, self.older = remembered, {}, {}
+        self.remembered, self.merged, self.older, self.coded = remembered, {}, {}, {}
 
     @staticmethod
     def _hashes(keys: list[bytes]) -> np.ndarray:
@@ -131,17 +131,11 @@ class ByteCoder:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token by merging its bytes."""
-        ranks, n = self.ranks, len(piece)
+        ranks, rank_of, n = self.ranks, self.ranks.get, len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting: list[tuple[int, int, int, int]] = []
-
-        def offer(a: int, b: int, c: int) -> None:
-            rank = ranks.get(piece[a:c])
-            if rank is not None:
-                heapq.heappush(waiting, (rank, a, b, c))
-
-        for k in range(n - 1):
-            offer(k, k + 1, k + 2)
+        pairs = ((rank_of(piece[k : k + 2]), k, k + 1, k + 2) for k in range(n - 1))
+        waiting = [pair for pair in pairs if pair[0] is not None]
+        heapq.heapify(waiting)
         while waiting:
             _, a, b, c = heapq.heappop(waiting)
             if after[a] != b or after[b] != c:
@@ -149,9 +143,14 @@ class ByteCoder:
             after[a], after[b] = c, -1
             if c < n:
                 before[c] = a
-                offer(a, c, after[c])
-            if before[a] >= 0:
-                offer(before[a], a, c)
+                rank = rank_of(piece[a : after[c]])
+                if rank is not None:
+                    heapq.heappush(waiting, (rank, a, c, after[c]))
+            left = before[a]
+            if left >= 0:
+                rank = rank_of(piece[left:c])
+                if rank is not None:
+                    heapq.heappush(waiting, (rank, left, a, c))
         out, k = [], 0
         while k < n:
             out.append(ranks[piece[k : after[k]]])
@@ -181,10 +180,18 @@ class ByteCoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is the empty text."""
         cut = [self._units(t) if t else [] for t in texts]
-        split = {unit: self.split.findall(unit) for unit in {u for units in cut for u in units}}
-        ids = self._pieces(list({p for pieces in split.values() for p in pieces}))
-        coded = {unit: b"".join(map(ids.__getitem__, pieces)) for unit, pieces in split.items()}
-        return [b"".join(map(coded.__getitem__, units)) for units in cut]
+        if len(self.coded) >= self.remembered:
+            self.coded = {}
+        fresh = set().union(*cut).difference(self.coded)
+        split = {unit: self.split.findall(unit) for unit in fresh}
+        ids = self._pieces(list(set().union(*split.values())))
+        coded = self.coded
+        coded.update((unit, b"".join(map(ids.__getitem__, pieces))) for unit, pieces in split.items())
+        out = [b"".join(map(coded.__getitem__, units)) for units in cut]
+        for unit in fresh:
+            if len(unit) > LONGEST_REMEMBERED:
+                del coded[unit]
+        return out
 
     @staticmethod
     def _units(text: str) -> list[str]:

@@ -90,3 +90,26 @@ def test_rows(documents, library):
     back = decoded(encoded(documents(rows))).collect()
     assert sorted(bytes(r.decoded) for r in back) == sorted((t or "").encode() for _, t in rows)
     assert coder("byte_bpe_multi_50k.tiktoken") is coder("byte_bpe_multi_50k.tiktoken")
+
+
+def test_units_are_split_once_for_all_batches(library):
+    texts = ["some words here", "some words here again", "w" * 100]
+
+    def split_of(remembered):
+        ours, seen = ByteCoder(remembered=remembered), []
+        split = ours.split
+
+        class Counted:
+            def findall(self, unit):
+                seen.append(unit)
+                return split.findall(unit)
+
+        ours.split = Counted()
+        for text in texts * 2:
+            assert np.frombuffer(ours.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
+            assert all(len(unit) <= 64 for unit in ours.coded)
+        return sorted(seen)
+
+    # long units are not remembered; beyond the bound all are forgotten
+    assert split_of(100) == [" again", " here", " words", "some", "w" * 100, "w" * 100]
+    assert split_of(4).count("some") == 2
