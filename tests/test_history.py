@@ -322,3 +322,43 @@ def test_keys_are_counted_by_a_hash_first(spark):
     finally:
         type(df).filter = original
     assert all(".zstd." in f for f in materialize(df, "small").inputFiles())
+
+
+def test_touches_with_hashes_as_bytes_keep_columns_of_their_commit(spark):
+    rows = [(f"{i * 7919 % 251:06x}", rng_file, f"2024-01-{i % 9 + 1:02d}") for i in range(120) for rng_file in ("a", "b")[: 1 + i % 2]]
+    df = spark.createDataFrame(rows * 2, "commit_hash string, file_path string, t string")
+    df = df.withColumn("commit_ts", F.col("t").cast("timestamp")).withColumn("parents", F.when(F.col("commit_hash") > "000080", F.array("t")))
+    plain = {tuple(r) for r in szz.previous_touch(df, ["file_path"]).collect()}
+    table = materialize(df.withColumn("commit_hash", F.unhex("commit_hash")), "touches")
+    got = szz.previous_touch(table, ["file_path"], kept=("parents",), written=True).collect()
+    assert {(bytes(r.commit_hash).hex(), r.file_path, bytes(r.origin_hash).hex()) for r in got} == plain and len(got) == len(plain)
+    assert all((r.parents is not None) == (bytes(r.commit_hash).hex() > "000080") for r in got)
+
+
+def test_blame_is_asked_for_parents_of_fixes_only(spark, tmp_path):
+    from faultline.plans import catalog
+
+    orders = [(k, k % 3, "F" if k % 2 else "O", f"2001-01-{k % 28 + 1:02d}", "1") for k in range(1, 60)]
+    lines = [(k * 7 % 60, k * 5 % 6, k % 3, 9.0, 0.1) for k in range(400)]
+    for name, rows, layout in (
+        ("orders", orders + orders[:9], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate string, o_orderpriority string"),
+        ("lineitem", lines + lines[:50], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double"),
+    ):
+        spark.createDataFrame(rows, layout).write.parquet(f"{tmp_path}/{name}.parquet")
+    # the trace through a blame of every commit
+    commits, changes = catalog._history(spark, str(tmp_path))
+    blame = szz.previous_touch(changes, ["file_path", "line_no"]).join(
+        commits.select("commit_hash", F.col("parent_hash").alias("at_commit")), "commit_hash"
+    )
+    fixes = szz.identify_fixes(commits).filter("is_bug_fix")
+    wanted = szz.inducing_lines(fixes, changes.select("commit_hash", "file_path", "line_no").distinct(), blame.drop("commit_hash"))
+    asked, original = [], szz.inducing_lines
+    try:
+        szz.inducing_lines = lambda fixes, lines, blame: asked.append((fixes, lines, blame)) or original(fixes, lines, blame)
+        got = catalog.QUERIES["inducing_lines_from_blame"](spark, str(tmp_path))
+    finally:
+        szz.inducing_lines = original
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect())) and got.count()
+    fixed, looked_up, blamed = asked[0]
+    assert looked_up.join(fixed, "commit_hash", "left_anti").isEmpty()
+    assert blamed.join(fixed, blamed.at_commit == fixed.parent_hash, "left_anti").isEmpty()
