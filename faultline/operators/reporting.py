@@ -22,10 +22,14 @@ def verdict(f1) -> Column:
 
 
 def first_predictions(predictions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One prediction per key, the first by order; an aggregation, so copies combine map-side."""
+    """One prediction per key, the first by order; an aggregation, so copies combine map-side.
+
+    Rows are kept whole, which makes Spark sort them by key. A hash in front of the key is compared as a number, while
+    names that begin alike are compared to their ends.
+    """
     rest = [c for c in predictions.columns if c not in keys]
     return (
-        predictions.groupBy(*keys)
+        predictions.groupBy(F.xxhash64(*keys).alias("_key"), *keys)
         .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
         .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
     )
@@ -59,10 +63,11 @@ def by_function(predictions: DataFrame, function: list[str], meta: list[str], mo
     """Predictions of each function as an array, one entry per model, with the first row's metadata."""
     once = first_predictions(predictions, [*function, model], ["model_id", *meta])
     entry = F.struct(F.col(model).alias("name"), "probability", "label")
-    return once.groupBy(*function).agg(
+    grouped = once.groupBy(F.xxhash64(*function).alias("_key"), *function).agg(
         *[F.min_by(c, F.struct("model_id", *meta)).alias(c) for c in meta],
         F.array_sort(F.collect_list(entry)).alias("predictions"),  # at most one entry per model
     )
+    return grouped.drop("_key")
 
 
 def prediction_counts(predictions: DataFrame, function: list[str]) -> DataFrame:

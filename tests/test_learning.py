@@ -346,3 +346,30 @@ def test_models_of_the_same_rows_are_trained_once(spark):
     assert len(calls) == 1 and [m.name for m in again] == [m.name for m in first] == ["Naive Bayes"]
     model_store.trained_once(df.limit(5), name, lambda: train())
     assert len(calls) == 2
+
+
+def test_predictions_of_a_function_meet_without_a_second_shuffle(spark, tmp_path):
+    from faultline.plans import catalog
+
+    rows = [(k % 9, k * 7 % 5, k % 3, float(k % 50), k * 997.0, k % 10 / 10, "R" if k % 2 else "N") for k in range(300)]
+    layout = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string"
+    lines = spark.createDataFrame([*rows, (None, 1, 1, 1.0, 1.0, 0.1, "R")], layout)
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.QUERIES["predictions_by_function"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    first = {}
+    for o, p, n, quantity, price, discount, y in rows + [(None, 1, 1, 1.0, 1.0, 0.1, "R")]:
+        for model, name, raw in (("a_1", "Quantity", quantity / 50), ("b_1", "Discount", discount * 10), ("c_1", "Price", price / 100000), ("c_2", "Price", price / 90000)):
+            score = max(0.0, min(1.0, raw))
+            row = (model, p % 100 + 1, p % 100 + int(quantity), int(y == "R"), "BUGGY" if score >= 0.5 else "CLEAN", score)
+            key = (None if o is None else f"order{o}", f"item_{n}", name)
+            first[key] = min(first.get(key, row), row)
+    wanted = {}
+    for (file, function, name), row in first.items():
+        wanted.setdefault((file, function), []).append((row, name))
+    assert {(r[0], r[1]): (r[2], r[3]) for r in found.collect()} == {
+        key: (min(of)[0][1], ",".join(sorted(f"{name}={row[4]}" for row, name in of))) for key, of in wanted.items()
+    }
+    shown = catalog.QUERIES["result_rows"](spark, str(tmp_path))
+    assert "Aggregate" not in shown._jdf.queryExecution().executedPlan().toString()  # sorting reads a table
+    assert shown.count() == sum(row[4] == "BUGGY" for row in first.values())
