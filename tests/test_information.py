@@ -66,3 +66,13 @@ def test_digamma(spark):
     row = spark.range(1).select(*[selection.digamma(F.lit(n)).alias(f"n{n}") for n in (1, 2, 100)]).first()
     euler = 0.5772156649015329
     assert list(row) == pytest.approx([-euler, 1 - euler, math.fsum(1 / j for j in range(1, 100)) - euler], abs=1e-10)
+
+
+def test_rows_beside_are_put_together_from_single_rows(spark):
+    df = spark.createDataFrame([(k % 2, float(v)) for k in range(4) for v in range(k, 9, 2)], "k int, v double").distinct()
+    assert "collect_list" not in spread.nearby_rows(df, ["k"], "v", ["v"], 3)._jdf.queryExecution().executedPlan().toString()
+    # radii with counted copies: the third nearest of a class is met at 1.0, at 2.0, and at once
+    rows = [(0, 0.0)] * 2 + [(0, 1.0)] * 2 + [(0, 3.0)] * 4 + [(1, 0.5), (1, 2.5)]
+    got = selection.neighbour_information(spark.createDataFrame(rows, "y int, a double"), ["a"], rows_per_bucket=3)
+    plain = selection.neighbour_information(spark.createDataFrame(rows[::-1], "y int, a double"), ["a"])
+    assert got.first() == plain.first()
