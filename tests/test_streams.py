@@ -89,3 +89,30 @@ def test_trailing_windows_go_on_from_the_checkpoint(spark):
     whole = _trailing(rows, 10)
     assert seen[0] == [] and [r[:2] for r in seen[1]] == [("a", "2024-03-01"), ("a", "2024-03-02"), ("b", "2024-03-02")]
     assert seen[3] == [r for r in whole if r[1] < "2024-03-26"] and len(seen[3]) == 6
+
+
+def test_trailing_work_grows_with_the_days(monkeypatch):
+    import time
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    from faultline.streaming import jobs
+
+    daily = MagicMock()
+    monkeypatch.setattr(jobs, "_per_day", lambda changes: daily)
+    jobs.trailing_churn(None)
+    step = daily.filter().withWatermark().groupBy().applyInPandasWithState.call_args.args[0]
+    days = [d + d // 50 * 7 for d in range(12_000)]
+    frame = pd.DataFrame({"day": days, "added": [d % 5 for d in days], "deleted": [d % 3 for d in days], "commits": 1})
+    frame.loc[7, "added"] = None
+    state = MagicMock(exists=False)
+    state.getCurrentWatermarkMs.return_value = (days[-1] + 1) * 86_400_000
+    begin = time.monotonic()
+    (got,) = step(("f",), iter([frame[:5000], frame[5000:]]), state)
+    assert time.monotonic() - begin < 3  # looking through all days for each of them takes several times that
+    sums = dict(zip(days, zip(frame["added"].fillna(0) + frame["deleted"], frame["commits"])))
+    assert got["day"].tolist() == [pd.Timestamp(d * 86_400, unit="s") for d in days]
+    for at in (0, 7, 20, 36, 37, 51, 6000, 11_999):
+        reach = [sums[d] for d in range(days[at] - 29, days[at] + 1) if d in sums]
+        assert tuple(got.loc[at, ["churn", "commit_count"]]) == (sum(c for c, _ in reach), sum(n for _, n in reach))
