@@ -309,6 +309,29 @@ def test_statistics_come_from_all_training_rows(spark, monkeypatch):
     assert seen["scores"][1] > 180 and len(seen["fits"]) == 3 and max(seen["fits"]) < 100
 
 
+def test_bounded_forests_are_fitted_by_few_tasks(spark, monkeypatch):
+    tasks, forest = [], selection._forest
+    monkeypatch.setattr(
+        selection, "_forest", lambda df, *a: tasks.append(df.rdd.getNumPartitions()) or forest(df, *a[:1], 2, 1, 2)
+    )
+    rows = separable(spark).select("*", F.monotonically_increasing_id().alias("row_id"))
+    rows, columns = datasets.prepare(rows.repartition(40), keep=["row_id"])
+    selection.select_best_method(rows, columns, ("selectkbest", "importance"), max_fit_rows=60)
+    assert len(tasks) == 3 and max(tasks) <= selection.FIT_TASKS
+
+
+def test_texts_do_not_move_to_their_labels(spark, tmp_path):
+    spark.createDataFrame([(1, "a b\nc"), (2, None), (2, "d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 0), (2, 1), (None, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = catalog._document_rows(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    assert "length(text" in plan[join + 1]
+    got = sorted((r.row_id, r.nloc, r.token_count, r.label) for r in rows.fillna(-1).collect())
+    assert got[0] == (1, 2, 3, "CLEAN") and len(got) == 5
+    assert [r[3] for r in got[1:]] == ["BUGGY", "CLEAN"] * 2
+
+
 def test_boosted_presets_fit(spark):
     boosted = [f"Boosted Trees {x}" for x in "ABC"]
     few = {name: {"maxIter": 3, "maxDepth": 3} for name in boosted}
