@@ -147,6 +147,41 @@ def test_neighbours_by_certificate_and_by_tree(spark, directions):
     assert not certified if directions == 0 else 0 < len(certified) < len(ids)
 
 
+@pytest.mark.parametrize("known", [False, True])
+def test_neighbours_within_a_block(known):
+    rng = np.random.default_rng(5)
+    grid = rng.integers(0, 6, size=(500, 3)).astype(float)  # many ties
+    b = np.concatenate([grid, rng.normal(size=(400, 3)) + 50])
+    others, ids = np.array([f"v{i}" for i in range(900)], object), np.array([f"v{i}" for i in range(300, 700)], object)
+    a = b[300:700]
+    d = np.square(a[:, None] - b[None]).sum(axis=2)
+    d[np.arange(400), np.arange(300, 700)] = np.inf
+    reach = np.sqrt(np.sort(d, axis=1)[:, 3]) if known else np.full(400, np.inf)
+    row, place, squared = neighbours._k_within(ids, a, reach, others, b, 4)
+    for i in range(400):
+        wanted = sorted(range(900), key=lambda j: (d[i, j], others[j]))[:4]
+        assert place[row == i].tolist() == wanted and np.allclose(squared[row == i], d[i, wanted])
+
+
+def test_full_search_moves_rows_a_fixed_number_of_times(spark, monkeypatch):
+    # 64 features without any structure: nothing can be ruled out
+    moved, blocks = [], neighbours._in_every_block
+
+    def count(df, *rest):
+        out = blocks(df, *rest)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "_in_every_block", count)
+    rng, sizes = np.random.default_rng(9), (480, 1920)
+    for n in sizes:
+        x = rng.normal(size=(n, 64))
+        df = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(x)], "vec string, x array<double>")
+        assert neighbours.nearest(df, 3, block_rows=20, directions=1).count() == 3 * n
+    half = len(moved) // 2
+    assert sum(moved[half:]) < 6 * sum(moved[:half])
+
+
 def test_tomek_links_match_brute_force(spark):
     x, y, df = vectors(spark)
     n = len(x)
