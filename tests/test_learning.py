@@ -161,6 +161,8 @@ def test_neighbours_within_a_block(known):
     for i in range(400):
         wanted = sorted(range(900), key=lambda j: (d[i, j], others[j]))[:4]
         assert place[row == i].tolist() == wanted and np.allclose(squared[row == i], d[i, wanted])
+    missing = np.concatenate([b, [[np.nan] * 3]])
+    assert not len(neighbours._k_within(ids, a, reach, np.append(others, "none"), missing, 4)[0])
 
 
 def test_full_search_moves_rows_a_fixed_number_of_times(spark, monkeypatch):
