@@ -77,6 +77,16 @@ def test_point_in_time_metrics_do_not_depend_on_buckets(spark, rows_per_bucket):
     } == brute_force(rows)
 
 
+@pytest.mark.parametrize("rows_per_bucket,written", [(10**9, ["seconds"]), (40, ["seconds", "entries"])])
+def test_moves_are_written_only_for_long_histories(spark, monkeypatch, rows_per_bucket, written):
+    names = []
+    monkeypatch.setattr(process, "materialize", lambda df, name: names.append(name) or materialize(df, name))
+    rows = random_changes(spark, 5, 300) + [("f", "h", "2020-02-01", who, 1, 0) for who in "abcd"]
+    got = process.metrics_at_commits(changes(spark, rows), rows_per_bucket=rows_per_bucket)
+    assert got.count() == got.select("file_path", "commit_second").distinct().count() == len(brute_force(rows))
+    assert names == written
+
+
 def test_running_sum_with_ties_and_null_keys(spark):
     rng = random.Random(4)
     rows = [(rng.choice(["a", "a", None, "b"]), float(rng.randint(0, 20)), rng.randint(0, 5)) for _ in range(400)]
