@@ -357,6 +357,15 @@ def test_bounded_forests_are_fitted_by_few_tasks(spark, monkeypatch):
     assert len(tasks) == 3 and max(tasks) <= selection.FIT_TASKS
 
 
+def test_best_feature_method_fits_on_all_training_rows(spark, monkeypatch, tmp_path):
+    n, fits, forest = 26_000, [], selection._forest
+    monkeypatch.setattr(selection, "_forest", lambda df, *a: fits.append(df.count()) or forest(df, *a[:1], 2, 1, 2))
+    spark.range(n).selectExpr("id AS doc_id", "repeat('a b ', cast(id % 97 as int)) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, n, 2).selectExpr("id AS doc_id", "cast(id % 97 > 50 as int) AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    assert catalog.QUERIES["best_feature_method"](spark, str(tmp_path)).count() > 0
+    assert len(fits) >= 3 and all(abs(f - 0.8 * n) <= 1 for f in fits)
+
+
 def test_texts_do_not_move_to_their_labels(spark, tmp_path):
     spark.createDataFrame([(1, "a b\nc"), (2, None), (2, "d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(2, 0), (2, 1), (None, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
