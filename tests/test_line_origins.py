@@ -110,6 +110,38 @@ def test_empty_and_circular_histories(spark):
         line_origins.origins(line_origins.version_runs(same, circle))
 
 
+@pytest.mark.parametrize("seed, branches, lines_per_file", [(2, True, 10_000), (4, True, 150)])
+def test_lines_of_fixes_by_file_and_by_doubling(spark, monkeypatch, seed, branches, lines_per_file):
+    versions, before = history_of(seed, branches)
+    texts = spark.createDataFrame([(f, c, t) for (f, c), t in versions.items()], VERSION)
+    runs = line_origins.version_runs(texts, spark.createDataFrame(before, BEFORE))
+    lines, doubled = {}, line_origins.origins
+    for r in runs.collect():
+        lines[r.file_path] = lines.get(r.file_path, 0) + r.length
+    seen = []
+    monkeypatch.setattr(line_origins, "origins", lambda some: seen.extend(r[0] for r in some.select("file_path").distinct().collect()) or doubled(some))
+    fixes = [(f"c{k}", "c3" if k % 4 else None) for k in range(2, 14)] + [("c5", "c3"), (None, "c3")]
+    fixes = spark.createDataFrame(fixes, "commit_hash string, parent_hash string")
+    got = line_origins.inducing_from_texts(fixes, runs, True, lines_per_file)
+    origin = {(f, c, line): o for f, c, line, o, _ in walked(versions, before)}
+    wanted = []
+    for c, f, b in before:
+        k = int(c[1:])
+        if k >= 2 and k % 4:
+            new = {p[1] for p in kept_lines(text_lines(versions[f, b]), text_lines(versions[f, c]))}
+            gone = [i + 1 for i in range(len(text_lines(versions[f, b]))) if i not in new]
+            wanted += [(c, origin[f, b, i], f, i) for i in gone if origin[f, b, i] != "c3"] * (2 if k == 5 else 1)
+    assert wanted and sorted(tuple(r) for r in got.collect()) == sorted(wanted)
+    assert set(seen) == {f for f, n in lines.items() if n > lines_per_file}
+
+
+def test_lines_of_circular_versions_are_not_followed_for_ever():
+    runs = [("f", "c", "d", 0, 0, 1, None), ("f", "d", "c", 0, 0, 1, None), ("f", "e", "c", -1, 0, 1, "d")]
+    with pytest.raises(ValueError, match="own predecessors"):
+        list(line_origins.lines_traced(runs))
+    assert list(line_origins.lines_traced([("f", "e", "gone", -1, 0, 2, "d")])) == []
+
+
 def test_mine_traces_through_texts(spark):
     """c2 fixes the line that c0 brought; the line of c1, its parent, does not count."""
     day = "2024-01-0"
