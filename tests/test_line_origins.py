@@ -135,10 +135,17 @@ def test_lines_of_fixes_by_file_and_by_doubling(spark, monkeypatch, seed, branch
     assert set(seen) == {f for f, n in lines.items() if n > lines_per_file}
 
 
-def test_lines_of_circular_versions_are_not_followed_for_ever():
-    runs = [("f", "c", "d", 0, 0, 1, None), ("f", "d", "c", 0, 0, 1, None), ("f", "e", "c", -1, 0, 1, "d")]
+def test_lines_of_circular_versions_are_not_followed_for_ever(spark):
+    circle = [("f", "c", "d", 0, 0, 1, None), ("f", "d", "c", 0, 0, 1, None)]
+    for asked in ([("f", "e", "c", -1, 0, 1, "d")], []):
+        with pytest.raises(ValueError, match="own predecessors"):
+            list(line_origins.lines_traced(circle + asked))
+    ends = [("f", "c", "d", 0, 1, 1, None), ("f", "d", "c", 0, 0, 1, None), ("f", "d", None, 1, -1, 1, None)]
+    assert list(line_origins.lines_traced([*ends, ("f", "e", "d", -1, 0, 2, "x")])) == [("e", "d", 1, "x"), ("e", "d", 2, "x")]
+    layout = "file_path string, commit_hash string, before_hash string, after_start int, before_start int, length int"
+    runs = spark.createDataFrame([r[:6] for r in circle], layout)
     with pytest.raises(ValueError, match="own predecessors"):
-        list(line_origins.lines_traced(runs))
+        line_origins.inducing_from_texts(spark.createDataFrame([("e", "d")], "commit_hash string, parent_hash string"), runs)
     assert list(line_origins.lines_traced([("f", "e", "gone", -1, 0, 2, "d")])) == []
 
 
